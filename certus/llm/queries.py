@@ -7,14 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from certus.llm.common import table
+from certus.llm.langid import predict_language
+from certus.llm.packing import pack
+from certus.llm.pieces import piece_digests
 from certus.llm.simhash import simhash_groups
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_pack": op4_pack,
+        "op6_langid": op6_langid,
+        "op9_pieces": op9_pieces,
         "op10_simhash": op10_simhash,
     }
