@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from certus.llm.common import table
+from certus.llm.common import scratch, table
 from certus.llm.langid import predict_language
 from certus.llm.packing import pack
 from certus.llm.pieces import piece_digests
 from certus.llm.simhash import simhash_groups
+from certus.llm.warc import read_archives, write_archives
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
         "op4_pack": op4_pack,
         "op6_langid": op6_langid,
         "op9_pieces": op9_pieces,
