@@ -16,8 +16,28 @@ SELECT page_id,
 FROM p
 """
 
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+n AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS size FROM v),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.98),
+reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT p.b, reach.root FROM reach JOIN p ON p.a = reach.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.vec_id = e.vec_id LEFT JOIN l ON l.a = e.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": OP3,
+        "op5_vector_dedup": OP5,
     }

@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from certus.llm.ann import nearest_neighbours
 from certus.llm.common import scratch, table
 from certus.llm.langid import predict_language
 from certus.llm.packing import pack
 from certus.llm.pieces import piece_digests
 from certus.llm.simhash import simhash_groups
+from certus.llm.vector_dedup import near_duplicate_vectors
 from certus.llm.warc import read_archives, write_archives
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
@@ -22,6 +28,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
@@ -36,8 +46,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ann": op2_ann,
         "op3_warc": op3_warc,
         "op4_pack": op4_pack,
+        "op5_vector_dedup": op5_vector_dedup,
         "op6_langid": op6_langid,
         "op9_pieces": op9_pieces,
         "op10_simhash": op10_simhash,
