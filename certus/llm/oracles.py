@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP1 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, h FROM d WHERE n >= 50),
+g AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY substr(h, 2 * p + 1, 100)) AS first_id FROM w),
+s AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM g WHERE first_id < doc_id),
+k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s),
+r AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM k GROUP BY doc_id, k),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last_e FROM r GROUP BY doc_id),
+f AS (
+  SELECT r.doc_id, string_agg(substr(d.h, 2 * before_e + 1, 2 * (b - before_e)), '' ORDER BY b) AS h
+  FROM (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS before_e FROM r) r JOIN d USING (doc_id)
+  GROUP BY r.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(f.h, '') || substr(d.h, 2 * coalesce(c.last_e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
 OP3 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
@@ -38,6 +56,7 @@ FROM embeddings e JOIN c ON c.vec_id = e.vec_id LEFT JOIN l ON l.a = e.vec_id
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": OP1,
         "op3_warc": OP3,
         "op5_vector_dedup": OP5,
     }

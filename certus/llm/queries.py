@@ -12,10 +12,16 @@ from certus.llm.langid import predict_language
 from certus.llm.packing import pack
 from certus.llm.pieces import piece_digests
 from certus.llm.simhash import simhash_groups
+from certus.llm.suffix_dedup import repeated_spans
 from certus.llm.vector_dedup import near_duplicate_vectors
 from certus.llm.warc import read_archives, write_archives
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_ann": op2_ann,
         "op3_warc": op3_warc,
         "op4_pack": op4_pack,
