@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from certus.llm.ann import nearest_neighbours
 from certus.llm.common import scratch, table
 from certus.llm.langid import predict_language
+from certus.llm.licenses import scan_licenses
 from certus.llm.lm_score import score_documents
 from certus.llm.packing import pack
 from certus.llm.pieces import piece_digests
@@ -43,6 +44,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pack": op4_pack,
         "op5_vector_dedup": op5_vector_dedup,
         "op6_langid": op6_langid,
+        "op7_licenses": op7_licenses,
         "op8_lm_score": op8_lm_score,
         "op9_pieces": op9_pieces,
         "op10_simhash": op10_simhash,
