@@ -28,11 +28,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certus.llm.common import chunk_count, saved
+from certus.llm.common import chunk_count
 from certus.llm.suffixes import suffix_order
 
 WINDOW, ANCHOR = 50, 24
@@ -190,11 +191,14 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(buckets: int):
-    """Chunk and its answers to: contexts for buckets, and for itself the anchors' places and contexts."""
+    """Chunk and its answers to: contexts for buckets, and for itself the anchors' places and contexts.
+
+    Both kinds of rows travel in one exchange, to a bucket's number or to the chunk's own.
+    """
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["bucket", "chunk", "contexts", "least", "places", "numbers"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["to", "bucket", "chunk", "contexts", "least", "places", "numbers"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         if not docs.num_rows:
             return _table([], names, kinds)
         chunk = Chunk(docs)
@@ -212,8 +216,9 @@ def _contexts(buckets: int):
         first, of = distinct_rows(keyed)
         least = np.full(len(first), NONE)
         np.minimum.at(least, of, chunk.ids[doc])
-        rows = [(b, number, around[first[s:e]].tobytes(), least[s:e].astype("<i8").tobytes(), None, None) for b, s, e in chunk.slices(key[first], buckets)]
-        rows.append((None, number, None, None, place.astype("<i8").tobytes(), of.astype("<i8").tobytes()))
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        rows = [(b, b, number, squeeze(around[first[s:e]].tobytes()), least[s:e].astype("<i8").tobytes(), None, None) for b, s, e in chunk.slices(key[first], buckets)]
+        rows.append((number, None, number, None, None, place.astype("<i8").tobytes(), of.astype("<i8").tobytes()))
         return _table(rows, names, kinds)
 
     return run
@@ -288,9 +293,13 @@ def unpacked_least(data: bytes) -> np.ndarray:
 
 
 def _sorted(rows: pa.Table) -> pa.Table:
-    """Bucket to chunks: for each context sent, the smallest doc_id of every window."""
-    width = BEFORE + WINDOW + 2
-    sent = [np.frombuffer(c.as_py(), np.uint8).reshape(-1, width) for c in rows.column("contexts")]
+    """Bucket to chunks: for each context sent, the smallest doc_id of every window. What a chunk sent itself passes."""
+    width, own = BEFORE + WINDOW + 2, pc.is_null(rows.column("bucket"))
+    names, kinds = ["chunk", "bucket", "least", "places", "numbers"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    passed, rows = rows.filter(own).select(names), rows.filter(pc.invert(own))
+    if not rows.num_rows:
+        return passed
+    sent = [np.frombuffer(zstandard.ZstdDecompressor().decompress(c.as_py()), np.uint8).reshape(-1, width) for c in rows.column("contexts")]
     contexts = np.concatenate(sent)
     ids = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in rows.column("least")])
     first, of = distinct_rows(contexts)
@@ -298,8 +307,8 @@ def _sorted(rows: pa.Table) -> pa.Table:
     np.minimum.at(least, of, ids)
     answer = least_by_offset(contexts[first], least)
     edges = np.r_[0, np.cumsum([len(s) for s in sent])]
-    out = [(c, b, packed_least(answer[of[s:e]])) for c, b, s, e in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), edges, edges[1:], strict=False)]
-    return _table(out, ["chunk", "bucket", "least"], [pa.int32(), pa.int32(), pa.binary()])
+    out = [(c, b, packed_least(answer[of[s:e]]), None, None) for c, b, s, e in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), edges, edges[1:], strict=False)]
+    return pa.concat_tables([_table(out, names, kinds), passed])
 
 
 def spans_of(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,19 +365,19 @@ def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit("")), "chunk": number})
 
 
-def _answered(docs: DataFrame) -> tuple[int, DataFrame]:
-    """Number of chunks, and by chunk what it needs to cut its documents."""
-    slim = docs.select("doc_id", "text")
-    chunks = chunk_count(slim)
-    dealt = _dealt(slim, chunks)
+def _answered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents dealt to chunks, and by chunk what it needs to cut them.
+
+    The documents are shuffled once: asking, cutting contexts and cutting text
+    read the same exchange.
+    """
+    chunks = chunk_count(docs)
+    dealt = _dealt(docs, chunks)
     by = dealt.groupBy("chunk")
     shared = by.applyInArrow(_ask(chunks), "bucket int, chunk int, keys binary, several binary").groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, mask binary")
-    sent = by.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(chunks), "bucket int, chunk int, contexts binary, least binary, places binary, numbers binary")
-    sent = saved(sent)
-    told = sent.where("bucket is not null").select("bucket", "chunk", "contexts", "least").groupBy("bucket").applyInArrow(_sorted, "chunk int, bucket int, least binary")
-    empty = F.lit(None).cast("binary")
-    state = sent.where("bucket is null").select("chunk", "bucket", empty.alias("least"), "places", "numbers")
-    return chunks, state.unionAll(told.select("chunk", "bucket", "least", empty, empty))
+    sent = by.cogroup(shared.groupBy("chunk")).applyInArrow(_contexts(chunks), "to int, bucket int, chunk int, contexts binary, least binary, places binary, numbers binary")
+    told = sent.groupBy("to").applyInArrow(_sorted, "chunk int, bucket int, least binary, places binary, numbers binary")
+    return dealt, told
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -380,8 +389,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     doc_id counts as larger than all others; rows that repeat a doc_id don't
     remove from each other. Other columns are ignored.
     """
-    chunks, answers = _answered(docs)
-    dealt = _dealt(docs.select("doc_id", "text"), chunks)
+    dealt, answers = _answered(docs.select("doc_id", "text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>"
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(False), schema)
 
@@ -393,8 +401,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     is left are dropped, and n_chars, where there is such a column, is
     counted anew.
     """
-    chunks, answers = _answered(docs)
-    dealt = _dealt(docs, chunks)
+    dealt, answers = _answered(docs)
     kept = dealt.drop("chunk").schema
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(True), kept).where("text <> ''")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
