@@ -143,21 +143,28 @@ class SmallWorld:
         """Query rows and ids of what is found at least that similar.
 
         A query whose beam is full of such ids is searched again with a beam
-        twice as wide; one as wide as the graph holds everything.
+        twice as wide. Where the beam would hold an eighth of the graph, the
+        query is compared with all of it, which costs less.
         """
         out, n = [], len(self.x)
-        todo, beam = np.arange(len(q)), min(beam, n)
+        todo = np.arange(len(q))
         while len(todo):
             again = []
+            if 8 * beam >= n:
+                for i in range(0, len(todo), 1024):
+                    rows = todo[i : i + 1024]
+                    r, c = np.nonzero(np.asarray(q[rows], np.float32) @ self.x.T >= least)
+                    out.append((rows[r], c))
+                break
             step = max(1, min(block, (1 << 21) // beam))
             for i in range(0, len(todo), step):
                 rows = todo[i : i + step]
                 ids, sims = self.search(q[rows], beam)
                 good = (sims >= least) & (ids >= 0)
-                full = good.all(1) & (beam < n)
+                full = good.all(1)
                 again.append(rows[full])
                 r, c = np.nonzero(good & ~full[:, None])
                 out.append((rows[r], ids[r, c]))
             todo = np.concatenate(again)
-            beam = min(2 * beam, n)
+            beam *= 2
         return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(2))

@@ -38,10 +38,15 @@ def verified(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate([((unit(x[i : i + 65536]) * unit(y[i : i + 65536])).sum(1) >= least) for i in range(0, len(x), 65536)] or [np.zeros(0, bool)])
 
 
-def audited_links(graph: SmallWorld, q: np.ndarray, least: float, beam: int = FIRST_BEAM, audited: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
-    """Query rows and ids at least that similar; the beam widens until no audited link is missed."""
+def audited_links(graph: SmallWorld, q: np.ndarray, least: float, same: bool, beam: int = FIRST_BEAM, audited: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
+    """Query rows and ids at least that similar; the beam widens until no audited link is missed.
+
+    same: the queries are the graph's own vectors, each of which is no link of itself.
+    """
     sample = np.unique(np.linspace(0, len(q) - 1, min(audited, len(q))).astype(int))
     truth = q[sample].astype(np.float32) @ graph.x.T >= least
+    if same:
+        truth[np.arange(len(sample)), sample] = False
     while True:
         r, c = graph.near(q[sample], least, beam)
         got = np.zeros_like(truth)
@@ -98,7 +103,7 @@ def _linked(least: float):
                 ids, counts, x = _unpacked(row, "own")
                 qids, qcounts, q = _unpacked(row, "other")
                 same = row["own_shard"] == row["other_shard"]
-                r, c = audited_links(_graph(row, x), unit(q).astype(np.float32), least - MARGIN)
+                r, c = audited_links(_graph(row, x), unit(q).astype(np.float32), least - MARGIN, same)
                 if same:
                     r, c = np.minimum(r, c)[r != c], np.maximum(r, c)[r != c]
                     r, c = np.divmod(np.unique(r * len(ids) + c), len(ids))
