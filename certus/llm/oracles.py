@@ -4,9 +4,9 @@ from __future__ import annotations
 
 OP1 = """
 WITH d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
-w AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, h FROM d WHERE n >= 50),
-g AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY substr(h, 2 * p + 1, 100)) AS first_id FROM w),
+  SELECT doc_id, encode(coalesce(text, '')) AS x, hex(x) AS h, CAST(octet_length(x) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, x FROM d WHERE n >= 50),
+g AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY x[p + 1 : p + 50]) AS first_id FROM w),
 s AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 1 ELSE 0 END AS new FROM g WHERE first_id < doc_id),
 k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM s),
 r AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM k GROUP BY doc_id, k),
