@@ -45,7 +45,7 @@ def all_violations(db: Database) -> DataFrame:
     for denial in db.denials:
         v = violations(db, denial)
         out = v if out is None else out.unionAll(v)
-    out = out.distinct()
+    out = saved(out.distinct())
     single = out.where("size(facts) = 1").select(F.col("facts")[0].alias("fact"))
     long = out.where("size(facts) > 1").withColumn("id", F.md5(F.concat_ws(",", "facts")))
     spoilt = long.select("id", F.explode("facts").alias("fact")).join(single, "fact", "left_semi").select("id")
