@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes in one chunk of documents; a chunk is handled by one task at a time.
-CHUNK_BYTES = 12 << 20
-
+from certus.functions.storage import saved, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+__all__ = ["CHUNK_BYTES", "chunk_count", "in_chunks", "parts", "saved", "scratch", "shared_dir", "table"]
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="certus-")
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+#: Text bytes in one chunk of documents; a chunk is handled by one task at a time.
+CHUNK_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -34,12 +20,6 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

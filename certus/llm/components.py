@@ -1,12 +1,12 @@
-"""Connected components over a table of links, as joins and aggregates."""
+"""Components of links: over a table, and within one task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from certus.llm.common import saved
+from certus.operators.components import connected_components
+
+__all__ = ["connected_components", "spanning_links"]
 
 
 def spanning_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,27 +26,3 @@ def spanning_links(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             root = jumped
     return root
-
-
-def connected_components(links: DataFrame) -> DataFrame:
-    """Node and root (the smallest node reachable) of every linked node.
-
-    ``links`` has the long columns a and b. Null ends and loops are ignored;
-    nodes without a link to another one are not returned. Alternates the
-    large-star and small-star steps until nothing moves; every round is cut
-    off by a checkpoint in the shared folder. No group of links is gathered
-    in one place: each step is a minimum by node and a join with it.
-    """
-    e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = saved(e), None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        e = saved(small.unionAll(low.select("u", F.col("low").alias("v"))).distinct())

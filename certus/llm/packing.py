@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from certus.llm.common import saved
-from certus.llm.wordcache import WordCache
+from certus.llm.wordcache import WordCache, together
 
 CAPACITY, END_ID = 1024, 2
 #: A space before one of these characters begins a token of the byte-level
 #: pattern, whatever stands before it; none of them is white space.
 BREAK = re.compile(" (?=[!-~¡-ɏͰ-ᄓぁ-鿿])")
+#: A line end between two such characters is a token of its own.
+LINE = re.compile("(?<=[!-~¡-ɏͰ-ᄓぁ-鿿])\n(?=[!-~¡-ɏͰ-ᄓぁ-鿿])")
 NEWLINE = 198
 
 
@@ -69,12 +71,22 @@ class ByteLevel:
         known.update(zip(rest, self._encode(rest), strict=True))
         return [known[w] for w in words]
 
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a whole text, without special tokens."""
-        if not text:
-            return b""
-        first, *rest = BREAK.split(text)
-        return self.cache.ids([first, *[" " + w for w in rest]]) if first else self.cache.ids([" " + w for w in rest])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts, without special tokens."""
+        return [ids for some in together(texts) for ids in self.cache.ids_of_all([split(t) for t in some])]
+
+
+def split(text: str) -> list[str]:
+    """A text in parts that the tokenizer never joins."""
+    out: list[str] = []
+    for line in LINE.split(text):
+        if out:
+            out.append("\n")
+        first, *rest = BREAK.split(line)
+        if first:
+            out.append(first)
+        out += [" " + w for w in rest]
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -97,8 +109,9 @@ def _pieces(path: str, capacity: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b, out = whole.slice(at, 200), []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ids = memoryview(model.encode(text or "") + end)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for doc, own in zip(b.column(0).to_pylist(), model.encode(texts), strict=True):
+                    ids = memoryview(own + end)
                     for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
                         out.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), part, seen[n]))
                         seen[n] += 1

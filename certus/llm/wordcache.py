@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+#: Characters of texts whose words are learned at once.
+TOGETHER = 1 << 20
+
 
 def packed(ids: Iterable[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
@@ -13,23 +16,53 @@ def packed(ids: Iterable[int]) -> bytes:
 
 
 class WordCache:
-    """Word to packed ids. encode takes words that aren't known yet."""
+    """Word to packed ids. encode takes words that aren't known yet.
+
+    Two generations: a full one becomes the old one, and a word that is used
+    again moves back from it; what isn't used for a generation is forgotten.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.half, self.known, self.old = encode, limit // 2, {}, {}
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(words)
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.half:
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, []
+        for w in words:
+            if w not in known:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         if new:
-            self.known.update(zip(new, self.encode(new), strict=True))
+            known.update(zip(new, self.encode(new), strict=True))
 
     def ids(self, words: list[str]) -> bytes:
         """The ids of the words, one after another. Long texts are learned in parts."""
-        if len(words) <= self.limit // 2:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
-        half = len(words) // 2
-        return self.ids(words[:half]) + self.ids(words[half:])
+        if len(words) > self.half // 2:
+            half = len(words) // 2
+            return self.ids(words[:half]) + self.ids(words[half:])
+        self.learn(set(words))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def ids_of_all(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each of several texts' words."""
+        every = set().union(*texts)
+        if len(every) > self.half // 2:
+            return [self.ids(t) for t in texts]
+        self.learn(every)
+        return [b"".join(map(self.known.__getitem__, t)) for t in texts]
+
+
+def together(texts: list[str]) -> list[list[str]]:
+    """The texts in order, in groups of about TOGETHER characters."""
+    out, size = [], TOGETHER
+    for t in texts:
+        if size >= TOGETHER:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t)
+    return out

@@ -43,9 +43,11 @@ def test_ids_match_the_library():
     library = Tokenizer.from_file(default_tokenizer())
     library.encode_special_tokens = True
     mine, r = ByteLevel(default_tokenizer()), random.Random(7)
-    texts = [t or "" for t in ODD] + ["".join(r.choice(" \n\tab.,'s9é　 漢\x1c 🙂") for _ in range(r.randrange(16))) for _ in range(2500)]
+    texts = [t or "" for t in ODD] + ["".join(r.choice(" \n\tab.,'s9é　 漢\x1c 🙂") for _ in range(r.randrange(16))) for _ in range(4000)]
+    many = mine.encode(texts)
+    assert many == [mine.encode([t])[0] for t in texts]
     for text in texts:
-        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(mine.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("capacity", [8, 1024])
