@@ -32,8 +32,10 @@ CAPACITY, END_ID = 1024, 2
 #: pattern, whatever stands before it; none of them is white space.
 BREAK = re.compile(" (?=[!-~¡-ɏͰ-ᄓぁ-鿿])")
 #: A line end between two such characters is a token of its own.
-LINE = re.compile("(?<=[!-~¡-ɏͰ-ᄓぁ-鿿])\n(?=[!-~¡-ɏͰ-ᄓぁ-鿿])")
+LINE = re.compile("\n(?<=[!-~¡-ɏͰ-ᄓぁ-鿿]\n)(?=[!-~¡-ɏͰ-ᄓぁ-鿿])")
 NEWLINE = 198
+#: Stands before the first word of a line, which no space precedes.
+FIRST = "\0"
 
 
 def default_tokenizer() -> str:
@@ -50,7 +52,7 @@ class ByteLevel:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.apart = self._encode(["\n"])[0] == np.array([NEWLINE], "<u4").tobytes()
-        self.cache = WordCache(self._words)
+        self.cache = WordCache(lambda words: self._words([w if w == "\n" else w[1:] if w[0] == FIRST else " " + w for w in words]))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,16 +78,30 @@ class ByteLevel:
         return [ids for some in together(texts) for ids in self.cache.ids_of_all([split(t) for t in some])]
 
 
+def plain(line: str) -> bool:
+    """Whether only single spaces before printable Latin-1 characters occur, so that every space begins a token."""
+    if not line.isprintable() or "  " in line or line[-1:] == " ":
+        return False
+    try:
+        line.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def split(text: str) -> list[str]:
-    """A text in parts that the tokenizer never joins."""
+    """A text in parts that the tokenizer never joins.
+
+    A part stands for a space and itself, after FIRST for what follows it
+    alone; a line end between parts is a part.
+    """
     out: list[str] = []
     for line in LINE.split(text):
         if out:
             out.append("\n")
-        first, *rest = BREAK.split(line)
-        if first:
-            out.append(first)
-        out += [" " + w for w in rest]
+        own = line.split(" ") if plain(line) else BREAK.split(line)
+        own[0] = FIRST + own[0]
+        out += own if len(own[0]) > 1 else own[1:]
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -22,37 +23,33 @@ class WordCache:
     again moves back from it; what isn't used for a generation is forgotten.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_200_000):
         self.encode, self.half, self.known, self.old = encode, limit // 2, {}, {}
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.half:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Sees to it that the words of some texts are known."""
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(texts)))
+        if len(self.known) + len(new) > self.half:
             self.known, self.old = {}, self.known
-        known, old, new = self.known, self.old, []
-        for w in words:
-            if w not in known:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-        if new:
-            known.update(zip(new, self.encode(new), strict=True))
+            new = set(chain.from_iterable(texts))
+        back = self.old.keys() & new
+        self.known.update((w, self.old[w]) for w in back)
+        if new := list(new - back):
+            self.known.update(zip(new, self.encode(new), strict=True))
 
     def ids(self, words: list[str]) -> bytes:
         """The ids of the words, one after another. Long texts are learned in parts."""
         if len(words) > self.half // 2:
             half = len(words) // 2
             return self.ids(words[:half]) + self.ids(words[half:])
-        self.learn(set(words))
+        self.learn([words])
         return b"".join(map(self.known.__getitem__, words))
 
     def ids_of_all(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each of several texts' words."""
-        every = set().union(*texts)
-        if len(every) > self.half // 2:
+        if sum(map(len, texts)) > self.half // 2:
             return [self.ids(t) for t in texts]
-        self.learn(every)
+        self.learn(texts)
         return [b"".join(map(self.known.__getitem__, t)) for t in texts]
 
 
