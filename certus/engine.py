@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from certus.functions.storage import within
 from certus.operators import certain, denial, ranges, search
 from certus.plans.analyze import analyze
 from certus.plans.query import Database, Query
@@ -37,6 +38,10 @@ class Engine:
     def ranges(self, q: Query, value: str) -> DataFrame:
         return ranges.ranges(self.db, q, value)
 
+    def within(self, answers: DataFrame, seconds: float) -> DataFrame:
+        """Answers computed in that time, or a TimeoutError."""
+        return within(answers, seconds)
+
     def certain_values(self, table: str, columns: list[str]) -> DataFrame:
         """Certain values under the database's denial constraints."""
         return denial.certain_values(self.db, table, columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,25 @@ def saved(df: DataFrame) -> DataFrame:
     """The frame, computed once and cut from its lineage by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def within(df: DataFrame, seconds: float) -> DataFrame:
+    """The frame, computed and kept; if that takes longer, its jobs are cancelled and TimeoutError is raised."""
+    sc, tag, late = df.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return saved(df)
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"more than {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)

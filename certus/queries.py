@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from certus.engine import Engine
 from certus.operators import blocks, certain, denial, ranges, search
+from certus.operators.generator import chain
 from certus.operators.injector import injected, ranked
 from certus.plans.query import Database, Denial, Query, Table, atom
 from certus.sources.tables import parquet
@@ -73,6 +74,15 @@ TWINS = Query(
 )
 
 
+#: Rows of r1 that lead on to r3 in every repair.
+PATH = Query(("x",), (atom("r1", key="x", ref="y"), atom("r2", key="y", ref="z"), atom("r3", key="z")))
+
+
+def generated_chain(spark: SparkSession, sf_dir: str) -> Database:
+    """Three generated relations, each with as many rows as orders."""
+    return chain(spark, 3, parquet(spark, sf_dir, "orders").count(), joined=60)
+
+
 def cents(df: DataFrame) -> DataFrame:
     """Sums rounded as in the SQL."""
     return df.select(*[F.round(c, 2).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -146,6 +156,8 @@ def queries() -> dict[str, Run]:
         "denial_safe_orders": lambda s, d: denial.in_every_repair(order_denials(s, d), "orders").select("o_orderkey", "o_custkey"),
         "denial_certain_values": lambda s, d: denial.certain_values(order_denials(s, d), "orders", ["o_custkey", "o_orderpriority"]),
         "hash_sample": marked,
+        "generated_rows": lambda s, d: generated_chain(s, d).tables["r1"].frame,
+        "certain_chain": lambda s, d: Engine(generated_chain(s, d)).certain(PATH),
         "injected_customers": lambda s, d: injected(parquet(s, d, "customer"), ["c_custkey"]).select("c_custkey", "c_name", "c_mktsegment"),
     }
 
@@ -176,6 +188,12 @@ RANGE = """count(*) FILTER (WHERE whole) AS count_glb, count(*) AS count_lub,
   min(low) AS min_glb, min(high) FILTER (WHERE whole) AS min_lub, max(low) FILTER (WHERE whole) AS max_glb, max(high) AS max_lub"""
 
 
+def generated_sql(seed: int) -> str:
+    return f"""(SELECT CAST(CASE WHEN i < n - d THEN i ELSE n - d + (i - n + d) // 2 END AS BIGINT) AS key,
+CAST(CASE WHEN (i + {seed}) * 7919 % 100 < 60 THEN (i + {seed}) * 104729 % (n - d // 2) ELSE i + n - d // 2 END AS BIGINT) AS ref, substr(md5('{seed}-' || i), 1, 16) AS value
+FROM (SELECT n, n * 10 // 100 // 2 * 2 AS d, unnest(range(n)) AS i FROM (SELECT count(*) AS n FROM orders)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     counts = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
     flags = f"""b AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) = any_value(n) AS whole, count(*) = any_value(n) AS "full", min(l_quantity) AS low, max(l_quantity) AS high
@@ -228,6 +246,9 @@ SELECT p_brand, {RANGE} FROM r GROUP BY p_brand HAVING count(*) FILTER (WHERE wh
         "denial_certain_values": """WITH o AS (SELECT o_custkey, o_orderpriority, o_orderstatus FROM orders WHERE o_totalprice >= 1500), s AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM o GROUP BY ALL)
 SELECT o.o_custkey, o.o_orderpriority FROM o JOIN s USING (o_custkey) GROUP BY o.o_custkey, o.o_orderpriority HAVING count(DISTINCT o_orderstatus) = any_value(s.n)""",
         "hash_sample": "SELECT c_custkey, rank FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS rank FROM customer) WHERE rank < 100",
+        "generated_rows": f"SELECT * FROM {generated_sql(1)}",
+        "certain_chain": f"""WITH s AS (SELECT key FROM {generated_sql(2)} GROUP BY key HAVING bool_and(ref IN (SELECT key FROM {generated_sql(3)})))
+SELECT key AS x FROM {generated_sql(1)} GROUP BY key HAVING bool_and(ref IN (SELECT key FROM s))""",
         "injected_customers": """WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS rank FROM customer),
 x AS (SELECT 10 * count(*) // (2700 - 210) AS x FROM customer),
 t AS (SELECT c_custkey, rank, rank // x AS s, x FROM r, x WHERE rank < 6 * x),

@@ -42,3 +42,8 @@ def declared_keys(constraints: DataFrame) -> dict[str, list[str]]:
 def preview(df: DataFrame, n: int = 10) -> dict:
     """Column names, the first n rows and the number of all rows."""
     return {"columns": df.columns, "data": [json.loads(x) for x in df.limit(n).toJSON().collect()], "row_count": df.count()}
+
+
+def previews(db: Database, n: int = 10) -> dict[str, dict]:
+    """A preview of every table."""
+    return {name: preview(t.frame, n) for name, t in db.tables.items()}

@@ -1,11 +1,16 @@
-"""Sources, blocks, injected inconsistency and the stream of violations."""
+"""Sources, blocks, injected and generated inconsistency, time limits and the stream of violations."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from certus.functions.storage import within
 from certus.operators import blocks
+from certus.operators.generator import block_count, chain, generated
 from certus.operators.injector import injected, ranked
 from certus.plans.query import Table
-from certus.sources.tables import declared_keys, delimited, preview
+from certus.sources.tables import declared_keys, delimited, preview, previews
 from certus.streaming.blocks import violating_keys
 
 
@@ -54,3 +59,24 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from bad").collect()} == {(2, 2)}
+
+
+def test_generated(spark):
+    df = generated(spark, 1000, 50, percent=12, group=3, joined=40)
+    sizes = {r["n"]: r["blocks"] for r in df.groupBy("key").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("blocks")).collect()}
+    assert sizes == {1: 880, 3: 40} and sum(sizes.values()) == block_count(1000, 12, 3)
+    assert df.where("ref < 50").count() == 400
+    assert df.select("value").distinct().count() == 1000
+    assert generated(spark, 0, 0).count() == 0
+    found = previews(chain(spark, 2, 30), 3)
+    assert list(found) == ["r1", "r2"] and found["r2"]["row_count"] == 30 and len(found["r1"]["data"]) == 3
+
+
+def test_time_limit(spark):
+    assert within(spark.range(5), 60).count() == 5
+    slow = spark.range(0, 4, 1, 4).mapInPandas(lambda batches: ((time.sleep(30), b)[1] for b in batches), "id long")
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        within(slow, 2)
+    assert time.time() - began < 25
+    assert spark.range(5).count() == 5
