@@ -11,6 +11,7 @@ component beyond the budget raises an error instead of a guess.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import inf
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,6 +74,16 @@ def bound(ws: list[Witness], sizes: dict[str, int], best: Callable, steps: list[
     return kept + sum(best(bound(left, sizes, best, steps) for left in picks(part, sizes)) for part in split([x for x in ws if x[0]]))
 
 
+def least_top(ws: list[Witness], sizes: dict[str, int], steps: list[int]) -> float:
+    """The smallest that a pick makes the largest value of the witnesses it keeps; minus infinity if it can keep none."""
+    steps[0] += 1
+    if steps[0] > BUDGET:
+        raise UnresolvedComponent(f"more than {BUDGET} steps")
+    kept = [v for w, v in ws if not w]
+    parts = split([x for x in ws if x[0]])
+    return max([-inf, *kept, *(min(least_top(left, sizes, steps) for left in picks(part, sizes)) for part in parts)])
+
+
 def _read(rows: pd.DataFrame) -> tuple[list[Witness], dict[str, int]]:
     ws, sizes = [], {}
     for dirty, value in zip(rows["dirty"], rows["value"], strict=True):
@@ -140,3 +151,25 @@ def ranges_by_search(db: Database, q: Query, value: str | None = None) -> DataFr
     fixed = found.where("size(dirty) = 0").select("answer", F.col("value").alias("glb"), F.col("value").alias("lub"))
     total = fixed.unionAll(parts).groupBy("answer").agg(F.sum("glb").alias("glb"), F.sum("lub").alias("lub"))
     return sure.join(total, "answer").select(*q.free, "glb", "lub")
+
+
+def extremes_by_search(db: Database, q: Query, value: str) -> DataFrame:
+    """min_glb, min_lub, max_glb, max_lub of a variable, per certain group of the free variables.
+
+    Nulls are left out. Where some repair has no value for a group, its min_lub
+    and max_glb are null; without any value all four are.
+    """
+    found = saved(_named(witnesses(db, q), q.free).withColumn("value", F.col(value).cast("double")).select("answer", *q.free, "dirty", "value").distinct())
+    sure = _named(by_search(db, q), q.free) if q.free else by_search(db, q).where("cons_answer").select(F.md5(F.to_json(F.struct(F.lit(1).alias("_")))).alias("answer"))
+    valued = found.where("value is not null")
+
+    def decide(rows: pd.DataFrame) -> list[tuple]:
+        ws, sizes = _read(rows)
+        top, bottom = least_top(ws, sizes, [0]), -least_top([(w, -v) for w, v in ws], sizes, [0])
+        return [(rows["answer"].iloc[0], None if bottom == inf else bottom, None if top == -inf else top)]
+
+    parts = _grouped(componented(valued.where("size(dirty) > 0")).select("answer", "component", "dirty", "value"), decide, "answer string, min_lub double, max_glb double")
+    fixed = valued.where("size(dirty) = 0").select("answer", F.col("value").alias("min_lub"), F.col("value").alias("max_glb"))
+    inner = fixed.unionAll(parts).groupBy("answer").agg(F.min("min_lub").alias("min_lub"), F.max("max_glb").alias("max_glb"))
+    outer = valued.groupBy("answer").agg(F.min("value").alias("min_glb"), F.max("value").alias("max_lub"))
+    return sure.join(outer, "answer", "left").join(inner, "answer", "left").select(*q.free, "min_glb", "min_lub", "max_glb", "max_lub")

@@ -152,6 +152,7 @@ def queries() -> dict[str, Run]:
         "range_by_flag": engine(lambda e: cents(e.ranges(BY_FLAG, "v"))),
         "range_by_brand": engine(lambda e: cents(e.ranges(BY_BRAND, "v"))),
         "range_by_flag_search": lambda s, d: cents(search.ranges_by_search(tables(s, d), BY_FLAG, "v")),
+        "extremes_by_flag_search": lambda s, d: search.extremes_by_search(tables(s, d), BY_FLAG, "v"),
         "denial_violations": conflicting_orders,
         "denial_safe_orders": lambda s, d: denial.in_every_repair(order_denials(s, d), "orders").select("o_orderkey", "o_custkey"),
         "denial_certain_values": lambda s, d: denial.certain_values(order_denials(s, d), "orders", ["o_custkey", "o_orderpriority"]),
@@ -241,6 +242,7 @@ r AS (SELECT l_orderkey, l_linenumber, p_brand, count(*) FILTER (WHERE sure) = a
 FROM l JOIN b ON b.p_partkey = l.l_partkey WHERE l_quantity > 10 GROUP BY l_orderkey, l_linenumber, p_brand)
 SELECT p_brand, {RANGE} FROM r GROUP BY p_brand HAVING count(*) FILTER (WHERE whole) > 0""",
         "range_by_flag_search": f"WITH {flags} SELECT l_returnflag, round(sum(CASE WHEN whole THEN low ELSE 0 END), 2) AS glb, round(sum(high), 2) AS lub FROM b GROUP BY l_returnflag HAVING count(*) FILTER (WHERE whole) > 0",
+        "extremes_by_flag_search": f"WITH {flags} SELECT l_returnflag, min_glb, min_lub, max_glb, max_lub FROM (SELECT l_returnflag, {RANGE} FROM b GROUP BY l_returnflag HAVING count(*) FILTER (WHERE whole) > 0)",
         "denial_violations": "SELECT a.o_custkey, count(*) AS n_violations FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus GROUP BY a.o_custkey",
         "denial_safe_orders": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice >= 1500 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = o.o_custkey AND b.o_orderstatus <> o.o_orderstatus AND b.o_totalprice >= 1500)",
         "denial_certain_values": """WITH o AS (SELECT o_custkey, o_orderpriority, o_orderstatus FROM orders WHERE o_totalprice >= 1500), s AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM o GROUP BY ALL)

@@ -148,6 +148,7 @@ def test_ranges_of_random_joins(spark):
     want = {g: (*of(len, g), *of(sum, g), *of(min, g), *of(max, g)) for g in sure}
     q = Query(("g",), (atom("r", a="x", b="y", v="v"), atom("s", c="y", d="g")))
     assert {x.g: tuple(x)[1:] for x in Engine(db).ranges(q, "v").collect()} == want
+    assert {x.g: tuple(x)[1:] for x in search.extremes_by_search(db, q, "v").collect()} == {g: w[4:] for g, w in want.items()}
     assert {x.g: (x.glb, x.lub) for x in search.ranges_by_search(db, q, "v").collect()} == {g: w[2:4] for g, w in want.items()}
     assert {x.g: (x.glb, x.lub) for x in search.ranges_by_search(db, q).collect()} == {g: w[:2] for g, w in want.items()}
 
@@ -200,3 +201,15 @@ def test_relevant_and_witnesses(company):
     assert certain.witnesses(company, q).count() == 6
     got = {(r.k0_0, r.d) for r in certain.relevant_facts(company, q, 0).collect()}
     assert got == {(1, "toys"), (1, "books")}
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_extremes_of_a_hard_pattern(spark, seed):
+    r = random.Random(seed)
+    rows = {"r": [(r.randrange(3), r.randrange(3), r.randrange(-5, 9)) for _ in range(6)] + [(9, 1, 2)], "s": [(r.randrange(3), r.randrange(3)) for _ in range(4)] + [(9, 1)]}
+    db = Database().register("r", spark.createDataFrame(rows["r"], "a int, b int, v int"), ["a"])
+    db.register("s", spark.createDataFrame(rows["s"], "c int, d int"), ["c"])
+    worlds = [[v for _, b, v in k["r"] for _, d in k["s"] if b == d] for k in repairs(rows, {"r": 1, "s": 1})]
+    low, high = [min(w) for w in worlds], [max(w) for w in worlds]
+    q = Query((), (atom("r", a="x", b="z", v="v"), atom("s", c="y", d="z")))
+    assert tuple(search.extremes_by_search(db, q, "v").first()) == (min(low), max(low), min(high), max(high))
