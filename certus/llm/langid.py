@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fitted sample, and the number of landmarks in it.
@@ -137,22 +137,45 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str]
     return [r.text for r in rows], [r.lang for r in rows]
 
 
+def _scored(model: KernelClassifier | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
+    for at in range(0, len(known), 256):
+        rows = known[at : at + 256]
+        best, p = model.predict([texts[i] for i in rows])
+        for i, k, s in zip(rows, best, p, strict=True):
+            lang[i], score[i] = model.langs[k], float(s)
+    return lang, score
+
+
 def _predicted(model: KernelClassifier | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
-            for at in range(0, len(known), 256):
-                rows = known[at : at + 256]
-                best, p = model.predict([texts[i] for i in rows])
-                for i, k, s in zip(rows, best, p, strict=True):
-                    lang[i], score[i] = model.langs[k], float(s)
+            lang, score = _scored(model, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def _identified(model: KernelClassifier | None, text: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, score = _scored(model, b.column(text).to_pylist())
+            yield b.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return run
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
+
+
+def _fitted(docs: DataFrame, per_language: int = PER_LANGUAGE) -> KernelClassifier | None:
+    texts, langs = sample(docs.where(~_held_out()).select("doc_id", "text", "lang"), per_language)
+    return KernelClassifier(texts, langs) if texts else None
+
+
 def predict_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document.
 
@@ -162,14 +185,15 @@ def predict_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataF
     letter, or where there was nothing to learn from. A null doc_id is held
     out. Repeated rows each get a row; other columns are ignored.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
-    texts, langs = sample(docs.where(~held).select("doc_id", "text", "lang"), per_language)
-    model = KernelClassifier(texts, langs) if texts else None
+    held = _held_out()
+    model = _fitted(docs, per_language)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
     return rows.mapInArrow(_predicted(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is found with at least that score; all columns kept."""
-    found = predict_language(docs.select("doc_id", "text", "lang")).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs whose language is found with at least that score; all columns kept.
+
+    Each row is decided by its own text, whatever its doc_id.
+    """
+    return docs.mapInArrow(_identified(_fitted(docs), docs.columns.index("text"), least), docs.schema)

@@ -401,7 +401,11 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     is left are dropped, and n_chars, where there is such a column, is
     counted anew.
     """
+    names = docs.columns
+    # chunks are named "chunk" here, so a column of that name goes by another
+    free = next(f"chunk_{i}" for i in range(len(names) + 1) if f"chunk_{i}" not in map(str.lower, names))
+    docs = docs.toDF(*[free if n.lower() == "chunk" else n for n in names])
     dealt, answers = _answered(docs)
     kept = dealt.drop("chunk").schema
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(True), kept).where("text <> ''")
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(True), kept).where("text <> ''").toDF(*names)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
