@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from certus.llm.common import scratch, table
 from certus.llm.langid import keep_identified
+from certus.llm.near_copies import drop_near_copies
 from certus.llm.packing import pack
-from certus.llm.simhash import simhash_dedup
 from certus.llm.suffix_dedup import cut_repeats
 
 
@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs)
+    return drop_near_copies(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
