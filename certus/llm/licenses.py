@@ -43,7 +43,7 @@ NOTICES = {
     "MIT": ["Released under the MIT License", "licensed under the MIT License", "SPDX-License-Identifier: MIT", "This project is under the MIT license"],
     "MPL-2.0": ["licensed under the Mozilla Public License, version 2.0", "subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["released under the Unlicense license", "SPDX-License-Identifier: Unlicense"],
-    "all-rights-reserved": ["Copyright holder. All rights reserved", "All rights reserved. No licence is granted"],
+    "all-rights-reserved": ["All rights reserved", "Copyright holder. All rights reserved", "All rights reserved. No licence is granted"],
 }
 #: Share of a notice's word pairs that a paragraph must have.
 CONFIRMED = 0.8
