@@ -26,7 +26,7 @@ class Engine:
         """Certain answers; strategy: auto, clean (sound only), division, blocks or search."""
         if len(queries) > 1:
             return search.by_search(self.db, *queries)
-        if strategy == "auto":
+        if strategy == "auto":  # blocks for forests, division for other first-order queries, search
             strategy = analyze(self.db, queries[0])["strategy"]
         ways = {"clean": certain.from_clean_part, "division": certain.by_division, "blocks": certain.by_blocks, "search": search.by_search}
         return ways[strategy](self.db, queries[0])
@@ -35,8 +35,9 @@ class Engine:
         """Possible answers that aren't certain."""
         return self.possible(q).exceptAll(self.certain(q))
 
-    def ranges(self, q: Query, value: str) -> DataFrame:
-        return ranges.ranges(self.db, q, value)
+    def ranges(self, q: Query, value: str, function: str | None = None) -> DataFrame:
+        """Ranges of a variable; AVG and DISTINCT raise ranges.UnsupportedAggregate."""
+        return ranges.ranges(self.db, q, value, function)
 
     def within(self, answers: DataFrame, seconds: float) -> DataFrame:
         """Answers computed in that time, or a TimeoutError."""

@@ -10,7 +10,10 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from certus.plans.query import Atom, Table
+from certus.plans.query import OWN, Atom, Table
+
+#: The column with the number of rows of a row's block.
+SIZE = f"{OWN}size"
 
 
 def distinct_rows(table: Table, columns: list[str] | None = None) -> DataFrame:
@@ -34,20 +37,20 @@ def histogram(table: Table) -> DataFrame:
 
 
 def with_size(table: Table, columns: list[str] | None = None) -> DataFrame:
-    """Different rows and their block's number of rows over the same columns, block_n."""
-    return distinct_rows(table, columns).withColumn("block_n", F.count("*").over(Window.partitionBy(*table.key)))
+    """Different rows and their block's number of rows over the same columns, SIZE."""
+    return distinct_rows(table, columns).withColumn(SIZE, F.count("*").over(Window.partitionBy(*table.key)))
 
 
 def clean_part(table: Table) -> DataFrame:
-    return with_size(table).where("block_n = 1").drop("block_n")
+    return with_size(table).where(f"{SIZE} = 1").drop(SIZE)
 
 
 def dirty_part(table: Table) -> DataFrame:
-    return with_size(table).where("block_n > 1").drop("block_n")
+    return with_size(table).where(f"{SIZE} > 1").drop(SIZE)
 
 
 def used_columns(table: Table, a: Atom) -> list[str]:
-    """Columns that an atom binds or its condition names."""
-    bound = {c for c, _ in a.binds}
-    named = set(re.findall(r"[A-Za-z_]\w*", re.sub(r"'(?:[^']|'')*'", " ", a.where)))
-    return [c for c in table.frame.columns if c in bound or c in named]
+    """Columns that an atom binds or its condition names, whatever the case; perhaps some more, which does no harm."""
+    where = re.sub(r"'(?:[^']|\\.|'')*'", " ", a.where).lower()
+    named = {c.lower() for c, _ in a.binds} | set(re.findall(r"\w+", where))
+    return [c for c in table.frame.columns if c.lower() in named or (not re.fullmatch(r"\w+", c) and c.lower() in where)]

@@ -6,8 +6,8 @@ from each block. Three ways lead to it, all of them lazy frames:
 * the clean part: witnesses that use clean blocks only (sound);
 * division, for first-order queries: from the last atom to the first, a block
   counts for an answer if each of its rows does;
-* blocks, for forests one level deep: the same for a root atom and the atoms
-  that it refers to by their whole keys, each child aggregated before the join.
+* blocks, for forests: the same for a root atom and the atoms that are reached
+  from it by their whole keys, each child aggregated before the join.
 
 search.py handles what remains.
 """
@@ -19,9 +19,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certus.operators.blocks import used_columns, with_size
-from certus.plans.analyze import attacks, order_by
-from certus.plans.query import Database, Query
+from certus.operators.blocks import SIZE, used_columns, with_size
+from certus.plans.analyze import attacks, order_by, self_join_free, trees
+from certus.plans.query import OWN, Database, Query
+
+#: Columns of witnesses() besides the variables.
+WITNESS, DIRTY = f"{OWN}witness", f"{OWN}dirty"
+
+
+def own(what: str, i: int) -> str:
+    """The name of an internal column of the i-th atom."""
+    return f"{OWN}{what}{i}"
+
+
+def own_keys(db: Database, q: Query, i: int) -> list[str]:
+    return [f"{own('key', i)}_{n}" for n in range(len(db.tables[q.atoms[i].table].key))]
+
+
+def name(*columns: Column) -> Column:
+    """128 bits that stand for some values; nulls are values of their own."""
+    parts = [x for c in columns for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
 
 
 def both(conditions: list[Column]) -> Column:
@@ -31,9 +49,9 @@ def both(conditions: list[Column]) -> Column:
 def facts(db: Database, q: Query, i: int, ids: bool = False, beside: tuple[Query, ...] = ()) -> DataFrame:
     """Different rows of an atom over the columns that the query, and those beside it, use of its table.
 
-    Key columns k{i}_0 ..., the block's size n{i}, ok{i} (the row meets the
-    condition and binds equal columns alike) and the variables. With ids also
-    block{i} and fact{i}, which name blocks and rows across atoms.
+    The variables, and as internal columns (see own()) the key, the block's
+    size n and ok: the row meets the condition and binds equal columns alike.
+    With ids also block and fact, which name blocks and rows across atoms.
     """
     a = q.atoms[i]
     table = db.tables[a.table]
@@ -45,16 +63,21 @@ def facts(db: Database, q: Query, i: int, ids: bool = False, beside: tuple[Query
         if v in first:
             alike.append(F.col(c) == F.col(first[v]))
         first.setdefault(v, c)
-    out = [F.col(c).alias(f"k{i}_{n}") for n, c in enumerate(table.key)]
-    out += [F.col("block_n").alias(f"n{i}"), F.coalesce(both(alike), F.lit(False)).alias(f"ok{i}")]
+    out = [F.col(c).alias(k) for c, k in zip(table.key, own_keys(db, q, i), strict=True)]
+    out += [F.col(SIZE).alias(own("n", i)), F.coalesce(both(alike), F.lit(False)).alias(own("ok", i))]
     out += [F.col(c).alias(v) for v, c in first.items()]
     if ids:
-        name = lambda cs: F.md5(F.to_json(F.struct(F.lit(a.table).alias("_"), *cs), {"ignoreNullFields": "false"}))
-        out += [name(table.key).alias(f"block{i}"), name([*table.key, *(c for c in columns if c not in table.key)]).alias(f"fact{i}")]
+        out += row_names(a.table, table.key, columns, own("block", i), own("fact", i))
     return rows.select(*out)
 
 
+def row_names(table: str, key: tuple[str, ...], columns: list[str], block: str, fact: str) -> list[Column]:
+    rest = [c for c in columns if c not in key]
+    return [name(F.lit(table), *map(F.col, key)).alias(block), name(F.lit(table), *map(F.col, [*key, *rest])).alias(fact)]
+
+
 def joined(left: DataFrame, right: DataFrame, left_variables: set[str], right_variables: set[str]) -> DataFrame:
+    """Natural join; atoms that share no variable give all their pairs, which is then the query's own meaning."""
     shared = sorted(left_variables & right_variables)
     return left.join(right, shared) if shared else left.crossJoin(right)
 
@@ -62,20 +85,22 @@ def joined(left: DataFrame, right: DataFrame, left_variables: set[str], right_va
 def witnesses(db: Database, q: Query, beside: tuple[Query, ...] = ()) -> DataFrame:
     """One row per combination of rows that gives an answer; beside: queries in union with this one.
 
-    The variables, ``witness`` (names the combination) and ``dirty``: block,
-    row and block size of each of its rows that is not alone in its block.
+    The variables, WITNESS (names the combination) and DIRTY: block, row and
+    block size of each of its rows that is not alone in its block.
     """
     out, variables = None, set()
     for i, a in enumerate(q.atoms):
-        rows = facts(db, q, i, True, beside).where(f"ok{i}").drop(f"ok{i}", *[f"k{i}_{n}" for n in range(len(db.tables[a.table].key))])
+        ok = own("ok", i)
+        rows = facts(db, q, i, True, beside).where(ok).drop(ok, *own_keys(db, q, i))
         out = rows if out is None else joined(out, rows, variables, a.variables)
         variables |= a.variables
         for j in range(i):  # two rows of one block are never kept together
             if q.atoms[j].table == a.table:
-                out = out.where(f"block{i} <> block{j} or fact{i} = fact{j}")
-    each = [F.when(F.col(f"n{i}") > 1, F.struct(F.col(f"block{i}").alias("block"), F.col(f"fact{i}").alias("fact"), F.col(f"n{i}").alias("n"))) for i in range(len(q.atoms))]
-    dirty = F.array_distinct(F.filter(F.array(*each), lambda x: x.isNotNull()))
-    return out.select(*sorted(variables), F.md5(F.concat(*[F.col(f"fact{i}") for i in range(len(q.atoms))])).alias("witness"), dirty.alias("dirty"))
+                out = out.where((F.col(own("block", i)) != F.col(own("block", j))) | (F.col(own("fact", i)) == F.col(own("fact", j))))
+    n = range(len(q.atoms))
+    each = [F.when(F.col(own("n", i)) > 1, F.struct(F.col(own("block", i)).alias("block"), F.col(own("fact", i)).alias("fact"), F.col(own("n", i)).alias("n"))) for i in n]
+    dirty = F.array_sort(F.array_distinct(F.filter(F.array(*each), lambda x: x.isNotNull())))
+    return out.select(*sorted(variables), name(*[F.col(own("fact", i)) for i in n]).alias(WITNESS), dirty.alias(DIRTY))
 
 
 def answer_columns(q: Query) -> list[Column]:
@@ -105,67 +130,87 @@ def possible(db: Database, q: Query) -> DataFrame:
 
 def from_clean_part(db: Database, q: Query) -> DataFrame:
     """Answers that a witness without dirty blocks gives; each of them is certain."""
-    out = witnesses(db, q).where("size(dirty) = 0")
+    out = witnesses(db, q).where(F.size(DIRTY) == 0)
     return out.select(*q.free).distinct() if q.free else boolean(out)
 
 
 def relevant_facts(db: Database, q: Query, i: int) -> DataFrame:
-    """Rows of the i-th atom's table in dirty blocks that a witness touches."""
-    touched = witnesses(db, q).select(F.explode("dirty").alias("d")).select(F.col("d.block").alias("block")).distinct()
-    rows = facts(db, q, i, True)
-    return rows.join(touched, rows[f"block{i}"] == touched["block"], "left_semi").drop(f"block{i}", f"fact{i}", f"ok{i}")
+    """Rows of the i-th atom's table, over the columns that the query uses, in dirty blocks that a witness touches."""
+    table, block = db.tables[q.atoms[i].table], own("block", i)
+    touched = witnesses(db, q).select(F.explode(DIRTY).alias("d")).select(F.col("d.block").alias(block)).distinct()
+    columns = sorted({c for a in q.atoms if a.table == q.atoms[i].table for c in used_columns(table, a)})
+    rows = with_size(table, columns).drop(SIZE)
+    return rows.withColumn(block, row_names(q.atoms[i].table, table.key, columns, block, block)[0]).join(touched, block, "left_semi").drop(block)
 
 
 def by_division(db: Database, q: Query) -> DataFrame:
     """Certain answers of a first-order query, atom by atom in the attack graph's order."""
     order = order_by(set(attacks(db, q)), len(q.atoms))
-    if order is None:
-        raise ValueError("the attack graph has a cycle: the query isn't first-order")
-    later, held = None, set()
+    if order is None or not self_join_free(q):
+        raise ValueError("a self-join or a cycle in the attack graph: the query isn't known to be first-order")
+    later, held, rows_of, size_of = None, set(), f"{OWN}rows", f"{OWN}of"
     for place in range(len(order) - 1, -1, -1):
         i = order[place]
         a = q.atoms[i]
         outer = set(q.free).union(*[q.atoms[j].variables for j in order[:place]])
-        rows = facts(db, q, i).where(f"ok{i}").drop(f"ok{i}")
+        rows = facts(db, q, i).where(own("ok", i)).drop(own("ok", i))
         rows = rows if later is None else joined(rows, later, a.variables, held)
         held = (a.variables | held) & outer
-        keys = [f"k{i}_{n}" for n in range(len(db.tables[a.table].key))]
-        whole = rows.groupBy(*keys, *sorted(held)).agg(F.count("*").alias("_rows"), F.first(f"n{i}").alias("_of")).where("_rows = _of")
+        whole = rows.groupBy(*own_keys(db, q, i), *sorted(held)).agg(F.count("*").alias(rows_of), F.first(own("n", i)).alias(size_of)).where(f"{rows_of} = {size_of}")
         later = whole.select(*sorted(held)).distinct() if held else boolean(whole).where("cons_answer").drop("cons_answer")
     return later.select(*q.free) if q.free else boolean(later)
 
 
-def covered(db: Database, q: Query, value: str | None = None) -> DataFrame:
-    """For a forest one level deep: by root block and answer, what the block contributes.
+#: Columns of covered() besides the root's key and the free variables.
+WHOLE, FULL, LOW, HIGH = f"{OWN}whole", f"{OWN}full", f"{OWN}low", f"{OWN}high"
 
-    The first atom is the root; each other atom's key is bound by it whole.
-    ``whole``: every row of the root block gives the answer in every repair of
-    the children. ``low`` and ``high``: smallest and largest value of the
-    root's rows that give it (nulls left out).
-    """
-    root = q.atoms[0]
-    bound = dict(root.binds)
-    rows = facts(db, q, 0).where("ok0").drop("ok0").withColumn("_sure", F.lit(True))
-    n = len(db.tables[root.table].key)
-    variables = set(root.variables)
-    for i, a in enumerate(q.atoms[1:], 1):
-        keys = db.key_variables(a)
-        if not keys <= set(bound.values()):
-            raise ValueError(f"the key of {a.table} isn't bound by the root")
-        if (a.variables - keys) & (variables - set(q.free)):
-            raise ValueError(f"{a.table} joins outside its key")
-        keep = sorted(keys | (a.variables & set(q.free)))
-        child = facts(db, q, i).where(f"ok{i}").groupBy(*keep).agg((F.count("*") == F.first(f"n{i}")).alias("_all"))
-        rows = joined(rows, child, variables, set(keep)).withColumn("_sure", F.col("_sure") & F.col("_all")).drop("_all")
+
+def _reached(db: Database, q: Query, i: int, parent: dict[int, int | None]) -> tuple[DataFrame, set[str]]:
+    """Rows of an atom that give an answer with some rows below it; OWN + "sure": with all repairs of what is below it."""
+    sure, whole = f"{OWN}sure", f"{OWN}all"
+    rows = facts(db, q, i).where(own("ok", i)).drop(own("ok", i)).withColumn(sure, F.lit(True))
+    variables = set(q.atoms[i].variables)
+    for j in sorted(j for j, p in parent.items() if p == i):
+        below, inner = _reached(db, q, j, parent)
+        keep = sorted(db.key_variables(q.atoms[j]) | (inner & set(q.free)))
+        child = below.groupBy(*keep).agg((F.count(F.when(F.col(sure), 1)) == F.first(own("n", j))).alias(whole))
+        rows = joined(rows, child, variables, set(keep)).withColumn(sure, F.col(sure) & F.col(whole)).drop(whole)
         variables |= set(keep)
-    v = F.col(value) if value else F.lit(1)
-    sure = F.count(F.when(F.col("_sure"), 1)) == F.first("n0")
-    return rows.groupBy(*[f"k0_{j}" for j in range(n)], *q.free).agg(sure.alias("whole"), (F.count("*") == F.first("n0")).alias("full"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return rows, variables
 
 
-def by_blocks(db: Database, q: Query) -> DataFrame:
-    """Certain answers of a forest one level deep."""
-    out = covered(db, q).where("whole")
-    return out.select(*q.free).distinct() if q.free else boolean(out)
+def covered(db: Database, q: Query, value: str | None = None) -> DataFrame:
+    """For a tree of atoms: by root block and answer, what the block contributes.
+
+    Every atom but the root is reached by its whole key from another one; the
+    root is found from the variables, whatever the order of the atoms. WHOLE:
+    every row of the root block gives the answer in every repair of the rest.
+    FULL: every row gives it in some repair. LOW and HIGH: smallest and
+    largest value of the root's rows that give it (nulls left out).
+    """
+    found = trees(db, q, value)
+    if found is None or len(found) != 1:
+        raise ValueError("the atoms aren't one tree of joins to whole keys")
+    root, parent = found[0]
+    if value and value not in q.atoms[root].variables:
+        raise ValueError(f"{value} isn't bound by the root")
+    rows, _ = _reached(db, q, root, parent)
+    n, v = F.first(own("n", root)), F.col(value) if value else F.lit(1)
+    whole = F.count(F.when(F.col(f"{OWN}sure"), 1)) == n
+    return rows.groupBy(*own_keys(db, q, root), *q.free).agg(whole.alias(WHOLE), (F.count("*") == n).alias(FULL), F.min(v).alias(LOW), F.max(v).alias(HIGH))
 
 
+def by_blocks(db: Database, q: Query) -> DataFrame:
+    """Certain answers of a forest; trees share free variables only, so each is decided on its own."""
+    found = trees(db, q)
+    if found is None:
+        raise ValueError("the atoms aren't trees of joins to whole keys")
+    out, variables = None, set()
+    for root, parent in found:
+        atoms = tuple(q.atoms[i] for i in sorted(parent))
+        free = tuple(v for v in q.free if any(v in a.variables for a in atoms))
+        sure = covered(db, Query(free, atoms), None).where(WHOLE)
+        sure = sure.select(*free).distinct() if free else boolean(sure).where("cons_answer").drop("cons_answer")
+        out = sure if out is None else joined(out, sure, variables, set(free))
+        variables |= set(free)
+    return out.select(*q.free) if q.free else boolean(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certus.plans.query import Database
+from certus.plans.query import Database, Query
 
 
 def block_count(rows: int, percent: int = 10, group: int = 2) -> int:
@@ -34,3 +34,28 @@ def chain(spark: SparkSession, relations: int, rows: int, percent: int = 10, gro
     for k in range(1, relations + 1):
         db.register(f"r{k}", generated(spark, rows, targets, percent, group, joined, k), ["key"])
     return db
+
+
+def for_query(spark: SparkSession, q: Query, keys: dict[str, list[str]], rows: int, joined: int = 50, dirty: int = 10, sizes: tuple[int, ...] = (2,), seed: int = 0) -> Database:
+    """A database for a query whose atoms name different tables: their columns are those that the atoms bind.
+
+    Row i of each table holds, in ``joined`` percent of the cases, values that
+    only depend on i and the variable, so that those rows join; the others
+    join with nothing. ``dirty`` percent of the keys get further rows with
+    values of their own, up to block sizes that are taken in turn from
+    ``sizes``. Conditions of the atoms are ignored.
+    """
+    if len({a.table for a in q.atoms}) < len(q.atoms):
+        raise ValueError("each atom needs a table of its own")
+    db, i = Database(), F.col("id")
+    hit, size = F.pmod((i + seed) * 7919, F.lit(100)) < joined, F.element_at(F.array(*map(F.lit, sizes)), (F.pmod(i, F.lit(len(sizes))) + 1).cast("int"))
+    copies = F.when(F.pmod(F.floor(i / len(sizes)), F.lit(100)) < dirty, size - 1).otherwise(0)
+    for a in q.atoms:
+        columns = []
+        for c, v in dict(a.binds).items():
+            first = F.when(hit, F.concat_ws("-", F.lit(v), i)).otherwise(F.concat_ws("-", F.lit(v), F.lit(a.table), i))
+            text = first if c in keys[a.table] else F.when(F.col("copy") == 0, first).otherwise(F.concat_ws("-", F.lit(v), F.lit(a.table), i, F.col("copy")))
+            columns.append(F.substring(F.md5(F.concat_ws("-", F.lit(seed), text)), 1, 16).alias(c))
+        made = spark.range(rows).withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int"))))
+        db.register(a.table, made.select(*columns), keys[a.table])
+    return db

@@ -1,119 +1,97 @@
 """Certain answers and ranges where no rewriting applies.
 
-Witnesses that share a dirty block hang together; blocks that don't are picked
-independently. Components of witnesses are found with joins, per answer, and
-each is decided on its own: is there a pick of one row per block that breaks
-every witness? An answer is certain if some component can't be broken. The
-search branches on the block in most witnesses and splits what remains; a
-component beyond the budget raises an error instead of a guess.
+Witnesses of an answer that share a dirty block hang together; blocks that
+don't are picked independently. Blocks that occur alone in their witnesses are
+decided by aggregates. What remains is gathered by answer where an answer has
+few witnesses, and by component, found with joins, where it has many; each
+group is solved by elimination.py, which has no limit on what it can decide.
+An answer is certain if some component can't be broken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import inf
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certus.functions.storage import saved
-from certus.operators.certain import boolean, witnesses
+from certus.operators.certain import DIRTY, WITNESS, boolean, name, witnesses
 from certus.operators.components import connected_components
-from certus.plans.query import Database, Query
+from certus.operators.elimination import SUM, TOP, breakable, least
+from certus.plans.query import OWN, Database, Query
 
-BUDGET = 200_000
-Witness = tuple[frozenset, float]
-
-
-class UnresolvedComponent(RuntimeError):
-    """A component took more steps than the budget allows."""
-
-
-def split(ws: list[Witness]) -> list[list[Witness]]:
-    """Witnesses that share no block, directly or through others, apart."""
-    owner: dict[str, int] = {}
-    groups: dict[int, list[Witness]] = {}
-    for k, w in enumerate(ws):
-        groups[k] = [w]
-        for other in {owner[b] for b, _ in w[0] if b in owner}:
-            groups[k] += groups.pop(other)
-        for b in {b for x in groups[k] for b, _ in x[0]} if len(groups[k]) > 1 else {b for b, _ in w[0]}:
-            owner[b] = k
-    return list(groups.values())
-
-
-def picks(ws: list[Witness], sizes: dict[str, int]):
-    """For each row that the busiest block can keep: the witnesses that are left."""
-    uses: dict[str, int] = {}
-    for w, _ in ws:
-        for b, _ in w:
-            uses[b] = uses.get(b, 0) + 1
-    block = max(uses, key=lambda b: (uses[b], b))
-    rows = {f for w, _ in ws for b, f in w if b == block}
-    for row in [*([None] if len(rows) < sizes[block] else []), *sorted(rows)]:
-        yield [(frozenset(x for x in w if x[0] != block), v) for w, v in ws if all(b != block or f == row for b, f in w)]
-
-
-def breakable(ws: list[Witness], sizes: dict[str, int], steps: list[int]) -> bool:
-    """Whether some pick breaks every witness."""
-    steps[0] += 1
-    if steps[0] > BUDGET:
-        raise UnresolvedComponent(f"more than {BUDGET} steps")
-    if any(not w for w, _ in ws):
-        return False
-    return all(any(breakable(left, sizes, steps) for left in picks(part, sizes)) for part in split(ws))
-
-
-def bound(ws: list[Witness], sizes: dict[str, int], best: Callable, steps: list[int]) -> float:
-    """Smallest or largest sum of the values of the witnesses that a pick keeps."""
-    steps[0] += 1
-    if steps[0] > BUDGET:
-        raise UnresolvedComponent(f"more than {BUDGET} steps")
-    kept = sum(v for w, v in ws if not w)
-    return kept + sum(best(bound(left, sizes, best, steps) for left in picks(part, sizes)) for part in split([x for x in ws if x[0]]))
-
-
-def least_top(ws: list[Witness], sizes: dict[str, int], steps: list[int]) -> float:
-    """The smallest that a pick makes the largest value of the witnesses it keeps; minus infinity if it can keep none."""
-    steps[0] += 1
-    if steps[0] > BUDGET:
-        raise UnresolvedComponent(f"more than {BUDGET} steps")
-    kept = [v for w, v in ws if not w]
-    parts = split([x for x in ws if x[0]])
-    return max([-inf, *kept, *(min(least_top(left, sizes, steps) for left in picks(part, sizes)) for part in parts)])
-
-
-def _read(rows: pd.DataFrame) -> tuple[list[Witness], dict[str, int]]:
-    ws, sizes = [], {}
-    for dirty, value in zip(rows["dirty"], rows["value"], strict=True):
-        ws.append((frozenset((d["block"], d["fact"]) for d in dirty), value))
-        sizes |= {d["block"]: d["n"] for d in dirty}
-    return ws, sizes
-
-
-def componented(ws: DataFrame) -> DataFrame:
-    """Witnesses (answer, dirty, ...) with at least one dirty block, and their component."""
-    ws = ws.withColumn("node", F.concat("answer", F.col("dirty")[0]["block"]))
-    links = ws.select(F.col("node").alias("a"), F.explode("dirty").alias("d"), "answer").select("a", F.concat("answer", "d.block").alias("b"))
-    roots = connected_components(links).withColumnsRenamed({"node": "at", "root": "component"})
-    return ws.join(roots, F.col("node") == F.col("at"), "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _grouped(ws: DataFrame, decide: Callable, schema: str) -> DataFrame:
-    """Components dealt to groups of many, each decided on its own."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = [x for _, rows in group.groupby("component", sort=False) for x in decide(rows)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    parts = max(32, 4 * int(ws.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return ws.withColumn("group", F.pmod(F.xxhash64("component"), F.lit(parts))).groupBy("group").applyInPandas(run, schema)
+#: Witnesses that one Python task is given, on average.
+TASK = 4000
+#: Rows in the witnesses of an answer up to which they are gathered without looking for components.
+FEW = 1000
+ANSWER, VALUE, BLOCK, FACT, SIZE, PART = (f"{OWN}{x}" for x in ("answer", "value", "block", "fact", "size", "part"))
+PAIR = "struct<a:bigint,b:bigint>"
 
 
 def _named(ws: DataFrame, free: tuple[str, ...]) -> DataFrame:
-    columns = [F.col(v) for v in free] or [F.lit(1).alias("_")]
-    return ws.withColumn("answer", F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+    return ws.withColumn(ANSWER, name(*[F.col(v) for v in free] or [F.lit(1)]))
+
+
+def parted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of witnesses with dirty blocks: those of one block that no larger one of the answer touches, and the others."""
+    one = F.size(DIRTY) == 1
+    touched = found.where(~one).select(ANSWER, F.explode(DIRTY).alias("d")).select(ANSWER, F.col("d.block").alias(BLOCK)).distinct()
+    single = found.where(one).withColumn(BLOCK, F.col(DIRTY)[0]["block"])
+    alone = single.join(touched, [ANSWER, BLOCK], "left_anti").withColumns({FACT: F.col(DIRTY)[0]["fact"], SIZE: F.col(DIRTY)[0]["n"]})
+    rest = found.where(~one).unionByName(single.join(touched, [ANSWER, BLOCK], "left_semi").drop(BLOCK))
+    return alone, rest
+
+
+def gathered(rest: DataFrame) -> DataFrame:
+    """A row per group of witnesses that are decided together: ANSWER and the list of (dirty, value)."""
+    rest = saved(rest.select(ANSWER, DIRTY, VALUE))
+    many = saved(rest.groupBy(ANSWER).agg(F.sum(F.size(DIRTY)).alias(SIZE)).where(F.col(SIZE) > FEW).select(ANSWER))
+    small = rest.join(many, ANSWER, "left_anti").withColumn(PART, F.lit(None).cast(PAIR))
+    node = lambda d: name(F.col(ANSWER)["a"], F.col(ANSWER)["b"], d["block"]["a"], d["block"]["b"])
+    big = rest.join(many, ANSWER, "left_semi").withColumn("node", node(F.col(DIRTY)[0]))
+    links = big.select(F.col("node").alias("a"), ANSWER, F.explode(DIRTY).alias("d")).select("a", node(F.col("d")).alias("b"))
+    if not many.isEmpty():
+        big = big.join(connected_components(links).withColumnRenamed("root", PART), "node", "left")
+        small = small.unionByName(big.withColumn(PART, F.coalesce(PART, "node")).drop("node"))
+    tasks = max(1, rest.count() // TASK)  # searching costs more than the size of the rows tells
+    return small.repartition(tasks, ANSWER, PART).groupBy(ANSWER, PART).agg(F.collect_list(F.struct(F.col(DIRTY).alias("dirty"), F.col(VALUE).alias("value"))).alias("ws")).select(ANSWER, "ws")
+
+
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[int, list[dict], list, dict]]:
+    """Number, witnesses, values and block sizes of each group of a batch."""
+    lists = b.column(1)
+    dirty, values = lists.flatten().flatten()
+    counts, each = lists.value_lengths().to_pylist(), dirty.value_lengths().to_pylist()
+    block, fact, n = dirty.flatten().flatten()
+    pairs = [list(zip(*(x.to_pylist() for x in c.flatten()), strict=True)) for c in (block, fact)]
+    values, n = values.to_pylist(), n.to_pylist()
+    w = at = 0
+    for k, many in enumerate(counts):
+        ws, sizes = [], {}
+        for length in each[w : w + many]:
+            ws.append(dict(zip(pairs[0][at : at + length], pairs[1][at : at + length], strict=True)))
+            sizes.update(zip(pairs[0][at : at + length], n[at : at + length], strict=True))
+            at += length
+        yield k, ws, values[w : w + many], sizes
+        w += many
+
+
+def _decided(groups: DataFrame, decide: Callable, columns: str) -> DataFrame:
+    """ANSWER and what decide(witnesses, values, sizes) says of every group."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [pa.bool_() if c.endswith("boolean") else pa.float64() for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                out = [decide(ws, values, sizes) for _, ws, values, sizes in _groups(b)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=[ANSWER, *names])
+
+    return groups.mapInArrow(run, f"{ANSWER} {PAIR}, {columns}")
 
 
 def by_search(db: Database, *queries: Query) -> DataFrame:
@@ -123,53 +101,72 @@ def by_search(db: Database, *queries: Query) -> DataFrame:
         raise ValueError("the queries of a union have the same free variables")
     found = None
     for q in queries:
-        w = witnesses(db, q, queries).select(*free, "dirty")
+        w = witnesses(db, q, queries).select(*free, DIRTY)
         found = w if found is None else found.unionAll(w)
-    found = saved(_named(found, free).distinct().withColumn("value", F.lit(1.0)))
-    clean = found.where("size(dirty) = 0").select("answer").distinct()
-    open_ones = componented(found.where("size(dirty) > 0").join(clean, "answer", "left_anti"))
-
-    def decide(rows: pd.DataFrame) -> list[tuple]:
-        ws, sizes = _read(rows)
-        return [] if breakable(ws, sizes, [0]) else [(rows["answer"].iloc[0],)]
-
-    sure = clean.unionAll(_grouped(open_ones.select("answer", "component", "dirty", "value"), decide, "answer string")).distinct()
-    return found.select("answer", *free).distinct().join(sure, "answer", "left_semi").select(*free) if free else boolean(sure)
+    found = saved(_named(found, free).distinct().withColumn(VALUE, F.lit(1.0)))
+    clean = found.where(F.size(DIRTY) == 0).select(ANSWER).distinct()
+    if not free and not clean.isEmpty():
+        return boolean(clean)
+    alone, rest = parted(found.where(F.size(DIRTY) > 0).join(clean, ANSWER, "left_anti"))
+    whole = alone.groupBy(ANSWER, BLOCK).agg((F.count_distinct(FACT) == F.first(SIZE)).alias("whole")).where("whole").select(ANSWER)
+    easy = saved(clean.unionAll(whole).distinct())
+    hard = _decided(gathered(rest.join(easy, ANSWER, "left_anti")), lambda ws, _, sizes: (not breakable(ws, sizes),), "held boolean").where("held").select(ANSWER)
+    sure = easy.unionAll(hard).distinct()
+    return found.select(ANSWER, *free).distinct().join(sure, ANSWER, "left_semi").select(*free) if free else boolean(sure)
+
+
+SUMS = ["count_glb", "count_lub", "sum_glb", "sum_lub"]
+EXTREMES = ["min_glb", "min_lub", "max_glb", "max_lub"]
+
+
+def _measured(ws: list[dict], values: list, sizes: dict) -> tuple:
+    """Bounds of a group: count_glb, count_lub, sum_glb, sum_lub, min_lub, max_glb."""
+    ones = [(w, 1.0) for w in ws]
+    given = [(w, v) for w, v in zip(ws, values, strict=True) if v is not None]
+    negated = [(w, -v) for w, v in given]
+    bottom, top = -least(negated, sizes, TOP), least(given, sizes, TOP)
+    count = (least(ones, sizes, SUM), -least([(w, -v) for w, v in ones], sizes, SUM))
+    return *count, least(given, sizes, SUM), -least(negated, sizes, SUM), None if bottom == inf else bottom, None if top == -inf else top
+
+
+def all_ranges(db: Database, q: Query, value: str | None = None) -> DataFrame:
+    """The free variables and count_glb ... max_lub of a variable, per certain group.
+
+    COUNT counts all witnesses; null values add nothing to SUM, MIN and MAX.
+    Where some repair has no value for a group, its min_lub and max_glb are
+    null. Without free variables: no row if some repair has no witness.
+    """
+    v = F.col(value).cast("double") if value else F.lit(1.0)
+    found = saved(_named(witnesses(db, q), q.free).select(ANSWER, *q.free, WITNESS, DIRTY, v.alias(VALUE)).distinct())
+    alone, rest = parted(found.where(F.size(DIRTY) > 0))
+    by_fact = alone.groupBy(ANSWER, BLOCK, FACT, SIZE).agg(F.count("*").cast("double").alias("c"), F.coalesce(F.sum(VALUE), F.lit(0.0)).alias("s"), F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi"))
+    full, valued = F.count("*") == F.first(SIZE), F.count("lo") == F.first(SIZE)
+    or_none = lambda best, of: F.when(full, best).otherwise(of(best, F.lit(0.0)))
+    blocks = by_fact.groupBy(ANSWER, BLOCK).agg(
+        F.when(full, F.min("c")).otherwise(0.0).alias("count_glb"),
+        F.max("c").alias("count_lub"),
+        or_none(F.min("s"), F.least).alias("sum_glb"),
+        or_none(F.max("s"), F.greatest).alias("sum_lub"),
+        F.when(valued, F.max("lo")).alias("min_lub"),
+        F.when(valued, F.min("hi")).alias("max_glb"),
+    )
+    columns = [*SUMS, "min_lub", "max_glb"]
+    hard = _decided(gathered(rest), _measured, ", ".join(f"{c} double" for c in columns))
+    zero = F.coalesce(VALUE, F.lit(0.0))
+    clean = found.where(F.size(DIRTY) == 0).select(ANSWER, F.lit(1.0).alias("count_glb"), F.lit(1.0).alias("count_lub"), zero.alias("sum_glb"), zero.alias("sum_lub"), F.col(VALUE).alias("min_lub"), F.col(VALUE).alias("max_glb"))
+    parts = clean.unionByName(blocks.drop(BLOCK)).unionByName(hard)
+    inner = parts.groupBy(ANSWER).agg(*[F.sum(c).alias(c) for c in SUMS], F.min("min_lub").alias("min_lub"), F.max("max_glb").alias("max_glb")).where("count_glb > 0")
+    outer = found.groupBy(ANSWER).agg(*[F.first(c).alias(c) for c in q.free], F.min(VALUE).alias("min_glb"), F.max(VALUE).alias("max_lub"))
+    counts = [F.col(c).cast("long").alias(c) if c.startswith("count") else F.col(c) for c in [*SUMS, *EXTREMES]]
+    return inner.join(outer, ANSWER).select(*q.free, *counts)
 
 
 def ranges_by_search(db: Database, q: Query, value: str | None = None) -> DataFrame:
     """glb and lub of COUNT (no value) or SUM of a variable, per certain group of the free variables."""
-    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0)) if value else F.lit(1.0)
-    found = saved(_named(witnesses(db, q), q.free).withColumn("value", v).select("answer", *q.free, "witness", "dirty", "value").distinct())
-    sure = _named(by_search(db, q), q.free) if q.free else by_search(db, q).where("cons_answer").select(F.md5(F.to_json(F.struct(F.lit(1).alias("_")))).alias("answer"))
-
-    def decide(rows: pd.DataFrame) -> list[tuple]:
-        ws, sizes = _read(rows)
-        return [(rows["answer"].iloc[0], float(bound(ws, sizes, min, [0])), float(bound(ws, sizes, max, [0])))]
-
-    parts = _grouped(componented(found.where("size(dirty) > 0")).select("answer", "component", "dirty", "value"), decide, "answer string, glb double, lub double")
-    fixed = found.where("size(dirty) = 0").select("answer", F.col("value").alias("glb"), F.col("value").alias("lub"))
-    total = fixed.unionAll(parts).groupBy("answer").agg(F.sum("glb").alias("glb"), F.sum("lub").alias("lub"))
-    return sure.join(total, "answer").select(*q.free, "glb", "lub")
+    kind = "sum" if value else "count"
+    return all_ranges(db, q, value).select(*q.free, F.col(f"{kind}_glb").cast("double").alias("glb"), F.col(f"{kind}_lub").cast("double").alias("lub"))
 
 
 def extremes_by_search(db: Database, q: Query, value: str) -> DataFrame:
-    """min_glb, min_lub, max_glb, max_lub of a variable, per certain group of the free variables.
-
-    Nulls are left out. Where some repair has no value for a group, its min_lub
-    and max_glb are null; without any value all four are.
-    """
-    found = saved(_named(witnesses(db, q), q.free).withColumn("value", F.col(value).cast("double")).select("answer", *q.free, "dirty", "value").distinct())
-    sure = _named(by_search(db, q), q.free) if q.free else by_search(db, q).where("cons_answer").select(F.md5(F.to_json(F.struct(F.lit(1).alias("_")))).alias("answer"))
-    valued = found.where("value is not null")
-
-    def decide(rows: pd.DataFrame) -> list[tuple]:
-        ws, sizes = _read(rows)
-        top, bottom = least_top(ws, sizes, [0]), -least_top([(w, -v) for w, v in ws], sizes, [0])
-        return [(rows["answer"].iloc[0], None if bottom == inf else bottom, None if top == -inf else top)]
-
-    parts = _grouped(componented(valued.where("size(dirty) > 0")).select("answer", "component", "dirty", "value"), decide, "answer string, min_lub double, max_glb double")
-    fixed = valued.where("size(dirty) = 0").select("answer", F.col("value").alias("min_lub"), F.col("value").alias("max_glb"))
-    inner = fixed.unionAll(parts).groupBy("answer").agg(F.min("min_lub").alias("min_lub"), F.max("max_glb").alias("max_glb"))
-    outer = valued.groupBy("answer").agg(F.min("value").alias("min_glb"), F.max("value").alias("max_lub"))
-    return sure.join(outer, "answer", "left").join(inner, "answer", "left").select(*q.free, "min_glb", "min_lub", "max_glb", "max_lub")
+    """min_glb, min_lub, max_glb, max_lub of a variable, per certain group of the free variables; see all_ranges()."""
+    return all_ranges(db, q, value).select(*q.free, *EXTREMES)

@@ -6,6 +6,20 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+#: What the names of all internal columns begin with; no variable or column of a table may.
+OWN = "__certus_"
+
+
+def free_names(names: set[str] | list[str], what: str) -> None:
+    """Raises ValueError for names that differ by case only or begin like internal ones."""
+    if taken := sorted(n for n in names if n.lower().startswith(OWN)):
+        raise ValueError(f"{what} with reserved names: {taken}")
+    by: dict[str, set[str]] = {}
+    for n in names:
+        by.setdefault(n.lower(), set()).add(n)
+    if alike := sorted(sorted(x) for x in by.values() if len(x) > 1):
+        raise ValueError(f"{what} that differ by case only: {alike}")
+
 
 @dataclass(frozen=True)
 class Table:
@@ -40,7 +54,11 @@ def atom(name: str, condition: str = "true", /, **binds: str) -> Atom:
 
 @dataclass(frozen=True)
 class Query:
-    """A conjunctive query: the free variables are its answers; none: a Boolean query."""
+    """A conjunctive query: the free variables are its answers; none: a Boolean query.
+
+    Variables may have any names but those that begin like internal columns
+    (``OWN``) and those that differ from another by case only: ValueError.
+    """
 
     free: tuple[str, ...]
     atoms: tuple[Atom, ...]
@@ -49,6 +67,7 @@ class Query:
         missing = set(self.free) - {v for a in self.atoms for v in a.variables}
         if missing:
             raise ValueError(f"free variables that no atom binds: {sorted(missing)}")
+        free_names({v for a in self.atoms for v in a.variables}, "variables")
 
 
 @dataclass(frozen=True)
@@ -57,11 +76,23 @@ class Denial:
 
     ``aliases`` are pairs of alias and table; the condition names columns as
     alias.column. With ``symmetric`` every pair of rows is looked at once.
+    ``same`` and ``differs`` are set by agreeing().
     """
 
     aliases: tuple[tuple[str, str], ...]
     condition: str
     symmetric: bool = False
+    same: tuple[str, ...] = ()
+    differs: tuple[str, ...] = ()
+
+
+def agreeing(table: str, same: list[str] | tuple[str, ...], differs: str) -> Denial:
+    """Rows of a table that agree on some columns must agree on another one; null agrees with and differs from nothing.
+
+    Such a constraint is looked at by classes of rows and not by pairs.
+    """
+    condition = " AND ".join([*(f"a.`{c}` = b.`{c}`" for c in same), f"a.`{differs}` <> b.`{differs}`"])
+    return Denial((("a", table), ("b", table)), condition, True, tuple(same), (differs,))
 
 
 @dataclass
@@ -75,10 +106,11 @@ class Database:
         missing = set(key) - set(frame.columns)
         if missing or not key:
             raise ValueError(f"{name} has no key columns {sorted(missing)}")
+        free_names(list(frame.columns), f"columns of {name}")
         self.tables[name] = Table(frame, tuple(key))
         return self
 
     def key_variables(self, a: Atom) -> set[str]:
         """Variables in the key; a key column that isn't bound has a variable of its own."""
-        bound = dict(a.binds)
-        return {bound.get(c, f"{a.table}.{c}") for c in self.tables[a.table].key}
+        bound = {c.lower(): v for c, v in a.binds}
+        return {bound.get(c.lower(), f"{a.table}.{c}") for c in self.tables[a.table].key}

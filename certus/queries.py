@@ -6,17 +6,20 @@ made inconsistent by re-keying some of their rows, the same way in both.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certus.engine import Engine
-from certus.operators import blocks, certain, denial, ranges, search
-from certus.operators.generator import chain
+from certus.functions.storage import shared_dir
+from certus.operators import blocks, certain, denial, search
+from certus.operators.generator import chain, for_query
 from certus.operators.injector import injected, ranked
-from certus.plans.query import Database, Denial, Query, Table, atom
-from certus.sources.tables import parquet
+from certus.plans.analyze import report
+from certus.plans.query import Database, Denial, Query, Table, agreeing, atom
+from certus.sources.tables import declared_keys, delimited, parquet, previews
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 PART_KEY = "CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_partkey END"
@@ -74,10 +77,25 @@ TWINS = Query(
 )
 
 
+#: Two tables that refer to each other.
+LOOP = Query((), (atom("r1", key="x", ref="y"), atom("r2", key="y", ref="x")))
+#: Flags of lines by the orders that keep them, with values on both sides of zero.
+BY_KEPT = Query(("l_returnflag",), (atom("lineitem", l_orderkey="o", l_returnflag="l_returnflag", v="v"), atom("orders", "o_orderstatus <> 'P'", o_orderkey="o")))
+#: The same as BRANDS and SEGMENTS, with the roots not first and an atom apart.
+FOREST = Query(("l_orderkey", "l_linenumber", "p_brand", "n_name"), (atom("nation", n_nationkey="n", n_name="n_name"), BRANDS.atoms[1], atom("supplier", "s_acctbal > 0", s_nationkey="n"), BRANDS.atoms[0]))
 #: Rows of r1 that lead on to r3 in every repair.
 PATH = Query(("x",), (atom("r1", key="x", ref="y"), atom("r2", key="y", ref="z"), atom("r3", key="z")))
 
 
+#: How many rows of r1 lead on to r3, all in all.
+REACHED = Query((), PATH.atoms)
+
+
+def generated_brands(spark: SparkSession, sf_dir: str) -> Database:
+    """Relations made for BRANDS, with blocks of up to four rows."""
+    return for_query(spark, BRANDS, {"lineitem": LINE_KEY, "part": ["p_partkey"]}, parquet(spark, sf_dir, "orders").count(), sizes=(2, 3, 4))
+
+
 def generated_chain(spark: SparkSession, sf_dir: str) -> Database:
     """Three generated relations, each with as many rows as orders."""
     return chain(spark, 3, parquet(spark, sf_dir, "orders").count(), joined=60)
@@ -90,7 +108,7 @@ def cents(df: DataFrame) -> DataFrame:
 
 def status_denial() -> Denial:
     """One customer's orders all have one status."""
-    return Denial((("a", "orders"), ("b", "orders")), "a.o_custkey = b.o_custkey AND a.o_orderstatus <> b.o_orderstatus", symmetric=True)
+    return agreeing("orders", ["o_custkey"], "o_orderstatus")
 
 
 def order_denials(spark: SparkSession, sf_dir: str) -> Database:
@@ -98,6 +116,33 @@ def order_denials(spark: SparkSession, sf_dir: str) -> Database:
     return db.register("orders", parquet(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
+#: What no suppliers of one nation may have: one alone, two or three together.
+SUPPLIER_DENIALS = [
+    Denial((("a", "supplier"),), "a.s_acctbal < -800"),
+    Denial((("a", "supplier"), ("b", "supplier")), "a.s_nationkey = b.s_nationkey AND a.s_acctbal > 8000 AND b.s_acctbal > 8000", symmetric=True),
+    Denial((("a", "supplier"), ("b", "supplier"), ("c", "supplier")), "a.s_nationkey = b.s_nationkey AND b.s_nationkey = c.s_nationkey AND a.s_acctbal > 5000 AND a.s_acctbal < b.s_acctbal AND b.s_acctbal < c.s_acctbal"),
+]
+
+
+def smallest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of violations of each size that hold no smaller one."""
+    db = Database(denials=SUPPLIER_DENIALS).register("supplier", parquet(spark, sf_dir, "supplier"), ["s_suppkey"])
+    return denial.all_violations(db).groupBy(F.size("facts").alias("n_rows")).agg(F.count("*").alias("n_violations"))
+
+
+#: Priorities of a customer's orders: of any, if the customer is kept, or of big ones.
+KEPT = Query(("c", "p"), (atom("orders", o_custkey="c", o_orderpriority="p"), atom("customer", c_custkey="c")))
+BIG = Query(("c", "p"), (atom("orders", "o_totalprice > 200000", o_custkey="c", o_orderpriority="p"),))
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certain priorities where a customer in debt and a big order of theirs exclude each other."""
+    debt = Denial((("o", "orders"), ("c", "customer")), "o.o_custkey = c.c_custkey AND o.o_totalprice > 200000 AND c.c_acctbal < 0")
+    db = Database(denials=[debt]).register("orders", parquet(spark, sf_dir, "orders"), ["o_orderkey"])
+    db.register("customer", parquet(spark, sf_dir, "customer"), ["c_custkey"])
+    return denial.certain_answers(db, KEPT, BIG)
+
+
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
@@ -106,11 +151,38 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def conflicting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of violations that each customer's orders are in."""
-    v = denial.violations(order_denials(spark, sf_dir), status_denial()).select("facts", F.col("facts")[0].alias("fact"))
-    rows = denial.named(order_denials(spark, sf_dir), "orders").select("fact", "o_custkey")
-    return v.join(rows, "fact").groupBy("o_custkey").agg(F.count("*").alias("n_violations"))
+def shifted(spark: SparkSession, sf_dir: str) -> Database:
+    """The tables with v, the quantity less 25, in lineitem."""
+    db = tables(spark, sf_dir)
+    return db.register("lineitem", db.tables["lineitem"].frame.withColumn("v", F.col("l_quantity") - 25), LINE_KEY)
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analyser says of four queries, as rows."""
+    db = generated_chain(spark, sf_dir)
+    for name, table in tables(spark, sf_dir).tables.items():
+        db.tables[name] = table
+    rows = [(name, *r) for name, q in (("segments", SEGMENTS), ("path", PATH), ("twins", TWINS), ("loop", LOOP)) for r in report(db, q)]
+    return spark.createDataFrame(rows, "query string, what string, atom string, other string, kind string")
+
+
+def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, len(x["columns"]), len(x["data"]), x["row_count"]) for name, x in previews(tables(spark, sf_dir), 5).items()]
+    return spark.createDataFrame(rows, "table_name string, n_columns int, n_shown int, n_rows long")
+
+
+def catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key columns that a constraint catalogue declares."""
+    rows = [("Primary Key", "LINEITEM(L_ORDERKEY,L_LINENUMBER)"), ("Primary Key", "PART(P_PARTKEY)"), ("Denial Constraint", "t(PART);t.P_SIZE < 0")]
+    keys = declared_keys(spark.createDataFrame(rows, "constraint_type string, constraint_definition string"))
+    return spark.createDataFrame([(t, c, i) for t, own in keys.items() for i, c in enumerate(own)], "table_name string, column_name string, position int")
+
+
+def reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer, written as delimited rows and loaded again."""
+    path, rows = f"{shared_dir(spark).rstrip('/')}/customer-{uuid.uuid4().hex}", parquet(spark, sf_dir, "customer")
+    rows.write.csv(path, sep="|", header=True)
+    return delimited(spark, path, rows.schema, header=True)
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +218,27 @@ def queries() -> dict[str, Run]:
         "certain_nations": engine(lambda e: e.certain(NATIONS)),
         "certain_union": engine(lambda e: e.certain(FLAGGED, OPEN)),
         "certain_twins": engine(lambda e: e.certain(TWINS)),
-        "witness_counts": lambda s, d: certain.witnesses(tables(s, d), BRANDS).groupBy("p_brand").agg(F.count("*").alias("n_witnesses"), F.sum((F.size("dirty") == 0).cast("long")).alias("n_clean")),
-        "relevant_facts": lambda s, d: certain.relevant_facts(tables(s, d), BRANDS, 0).select(F.col("k0_0").alias("l_orderkey"), F.col("k0_1").alias("l_linenumber"), F.col("p").alias("l_partkey")),
+        "witness_counts": lambda s, d: certain.witnesses(tables(s, d), BRANDS).groupBy("p_brand").agg(F.count("*").alias("n_witnesses"), F.sum((F.size(certain.DIRTY) == 0).cast("long")).alias("n_clean")),
+        "relevant_facts": lambda s, d: certain.relevant_facts(tables(s, d), BRANDS, 0),
         "range_scalar": engine(lambda e: cents(e.ranges(QUANTITIES, "v"))),
         "range_by_flag": engine(lambda e: cents(e.ranges(BY_FLAG, "v"))),
         "range_by_brand": engine(lambda e: cents(e.ranges(BY_BRAND, "v"))),
+        "range_by_brand_search": lambda s, d: cents(search.all_ranges(tables(s, d), BY_BRAND, "v")),
+        "range_negative_join": lambda s, d: cents(Engine(shifted(s, d)).ranges(BY_KEPT, "v", "sum")),
+        "range_chain_search": lambda s, d: search.ranges_by_search(generated_chain(s, d), REACHED),
+        "certain_brands_division": engine(lambda e: e.certain(BRANDS, strategy="division")),
+        "certain_forest": engine(lambda e: e.certain(FOREST).groupBy("n_name", "p_brand").agg(F.count("*").alias("n_lines"))),
+        "certain_within": engine(lambda e: e.within(e.certain(SUPPLIERS), 600)),
         "range_by_flag_search": lambda s, d: cents(search.ranges_by_search(tables(s, d), BY_FLAG, "v")),
         "extremes_by_flag_search": lambda s, d: search.extremes_by_search(tables(s, d), BY_FLAG, "v"),
-        "denial_violations": conflicting_orders,
+        "denial_violations": lambda s, d: denial.conflict_counts(order_denials(s, d), status_denial()),
+        "denial_minimal": smallest_violations,
+        "denial_join_values": priorities,
+        "analysis_report": reported,
+        "table_previews": previewed,
+        "catalogue_keys": catalogued,
+        "delimited_customers": reread,
+        "generated_for_query": lambda s, d: generated_brands(s, d).tables["lineitem"].frame,
         "denial_safe_orders": lambda s, d: denial.in_every_repair(order_denials(s, d), "orders").select("o_orderkey", "o_custkey"),
         "denial_certain_values": lambda s, d: denial.certain_values(order_denials(s, d), "orders", ["o_custkey", "o_orderpriority"]),
         "hash_sample": marked,
@@ -199,6 +284,10 @@ def oracle_sql() -> dict[str, str]:
     counts = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
     flags = f"""b AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) = any_value(n) AS whole, count(*) = any_value(n) AS "full", min(l_quantity) AS low, max(l_quantity) AS high
 FROM {SIZED} WHERE l_quantity > 10 GROUP BY ALL)"""
+    by_brand = f"""WITH {CHILD}, l AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)),
+r AS (SELECT l_orderkey, l_linenumber, p_brand, count(*) FILTER (WHERE sure) = any_value(l.n) AS whole, count(*) = any_value(l.n) AS "full", min(l_quantity) AS low, max(l_quantity) AS high
+FROM l JOIN b ON b.p_partkey = l.l_partkey WHERE l_quantity > 10 GROUP BY l_orderkey, l_linenumber, p_brand)
+SELECT p_brand, {RANGE} FROM r GROUP BY p_brand HAVING count(*) FILTER (WHERE whole) > 0"""
     return {
         "row_counts": counts,
         "violating_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM (SELECT DISTINCT * FROM lineitem) GROUP BY ALL HAVING count(*) > 1",
@@ -237,13 +326,51 @@ SELECT l_orderkey, l_linenumber, l_partkey FROM l SEMI JOIN t USING (l_orderkey,
         "range_scalar": f"""WITH b AS (SELECT l_orderkey, l_linenumber, count(*) = any_value(n) AS whole, count(*) = any_value(n) AS "full", min(l_quantity) AS low, max(l_quantity) AS high
 FROM {SIZED} WHERE l_returnflag = 'R' GROUP BY ALL) SELECT count(*) FILTER (WHERE whole) > 0 AS cons_answer, {RANGE} FROM b""",
         "range_by_flag": f"WITH {flags} SELECT l_returnflag, {RANGE} FROM b GROUP BY l_returnflag HAVING count(*) FILTER (WHERE whole) > 0",
-        "range_by_brand": f"""WITH {CHILD}, l AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)),
-r AS (SELECT l_orderkey, l_linenumber, p_brand, count(*) FILTER (WHERE sure) = any_value(l.n) AS whole, count(*) = any_value(l.n) AS "full", min(l_quantity) AS low, max(l_quantity) AS high
-FROM l JOIN b ON b.p_partkey = l.l_partkey WHERE l_quantity > 10 GROUP BY l_orderkey, l_linenumber, p_brand)
-SELECT p_brand, {RANGE} FROM r GROUP BY p_brand HAVING count(*) FILTER (WHERE whole) > 0""",
+        "range_by_brand": by_brand,
+        "range_by_brand_search": by_brand,
+        "range_negative_join": f"""WITH o AS (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus FROM {ORDERS}), os AS (SELECT o_orderkey, bool_and(o_orderstatus <> 'P') AS sure, bool_or(o_orderstatus <> 'P') AS may FROM o GROUP BY o_orderkey),
+l AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_quantity - 25 AS v FROM lineitem)),
+b AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) = any_value(n) AS whole, min(v) AS low, max(v) AS high FROM l GROUP BY ALL),
+s AS (SELECT l_orderkey, l_returnflag, sum(CASE WHEN whole THEN low ELSE least(low, 0) END) AS low, sum(CASE WHEN whole THEN high ELSE greatest(high, 0) END) AS high FROM b GROUP BY ALL)
+SELECT l_returnflag, round(sum(CASE WHEN sure THEN low ELSE least(low, 0) END), 2) AS sum_glb, round(sum(CASE WHEN sure THEN high ELSE greatest(high, 0) END), 2) AS sum_lub
+FROM s JOIN os ON o_orderkey = l_orderkey WHERE may GROUP BY l_returnflag""",
+        "range_chain_search": f"""WITH a AS (SELECT DISTINCT key, ref FROM {generated_sql(1)}), b AS (SELECT DISTINCT key, ref FROM {generated_sql(2)}), c AS (SELECT DISTINCT key FROM {generated_sql(3)}),
+s AS (SELECT key, bool_and(ref IN (SELECT key FROM c)) AS sure, bool_or(ref IN (SELECT key FROM c)) AS may FROM b GROUP BY key),
+r AS (SELECT a.key, bool_and(coalesce(sure, false)) AS sure, bool_or(coalesce(may, false)) AS may FROM a LEFT JOIN s ON s.key = a.ref GROUP BY a.key)
+SELECT CAST(count(*) FILTER (WHERE sure) AS DOUBLE) AS glb, CAST(count(*) FILTER (WHERE may) AS DOUBLE) AS lub FROM r""",
+        "certain_brands_division": SURE_BRANDS,
+        "certain_forest": f"""SELECT n_name, p_brand, count(*) AS n_lines FROM ({SURE_BRANDS}),
+(SELECT n_name FROM nation JOIN (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING bool_and(s_acctbal > 0)) ON s_nationkey = n_nationkey) GROUP BY ALL""",
+        "certain_within": "SELECT DISTINCT s AS l_suppkey FROM (SELECT min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING bool_and(l_quantity > 45) AND count(DISTINCT l_suppkey) = 1)",
         "range_by_flag_search": f"WITH {flags} SELECT l_returnflag, round(sum(CASE WHEN whole THEN low ELSE 0 END), 2) AS glb, round(sum(high), 2) AS lub FROM b GROUP BY l_returnflag HAVING count(*) FILTER (WHERE whole) > 0",
         "extremes_by_flag_search": f"WITH {flags} SELECT l_returnflag, min_glb, min_lub, max_glb, max_lub FROM (SELECT l_returnflag, {RANGE} FROM b GROUP BY l_returnflag HAVING count(*) FILTER (WHERE whole) > 0)",
         "denial_violations": "SELECT a.o_custkey, count(*) AS n_violations FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus GROUP BY a.o_custkey",
+        "denial_minimal": """WITH s AS (SELECT DISTINCT * FROM supplier), one AS (SELECT s_suppkey FROM s WHERE s_acctbal < -800), k AS (SELECT * FROM s WHERE s_suppkey NOT IN (SELECT s_suppkey FROM one))
+SELECT 1 AS n_rows, count(*) AS n_violations FROM one HAVING count(*) > 0
+UNION ALL SELECT 2, count(*) FROM k a JOIN k b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 8000 AND b.s_acctbal > 8000 HAVING count(*) > 0
+UNION ALL SELECT 3, count(*) FROM k a JOIN k b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal JOIN k c ON b.s_nationkey = c.s_nationkey AND b.s_acctbal < c.s_acctbal
+WHERE a.s_acctbal > 5000 AND b.s_acctbal <= 8000 HAVING count(*) > 0""",
+        "denial_join_values": """WITH o AS (SELECT o_custkey AS c, o_orderpriority AS p, o_totalprice > 200000 AS big FROM orders), x AS (SELECT c_custkey AS c, c_acctbal < 0 AND c_custkey IN (SELECT c FROM o WHERE big) AS torn FROM customer)
+SELECT c, p FROM o JOIN x USING (c) WHERE NOT torn UNION SELECT c, p FROM o WHERE big AND c NOT IN (SELECT c FROM x WHERE torn)
+UNION (SELECT c, p FROM o JOIN x USING (c) WHERE torn AND big INTERSECT SELECT c, p FROM o JOIN x USING (c) WHERE torn AND NOT big)""",
+        "analysis_report": """SELECT * FROM (VALUES
+('segments', 'order', '0:lineitem', '', '0'), ('segments', 'order', '1:orders', '', '1'), ('segments', 'order', '2:customer', '', '2'), ('segments', 'join', '1:orders', '2:customer', 'nonkey'),
+('segments', 'attack', '1:orders', '2:customer', 'weak'), ('segments', 'parent', '0:lineitem', '', 'root'), ('segments', 'parent', '1:orders', '', 'root'), ('segments', 'parent', '2:customer', '1:orders', 'child'),
+('segments', 'query', '', '', 'first-order'), ('segments', 'query', '', '', 'forest'), ('segments', 'query', '', '', 'self-join-free'), ('segments', 'query', '', '', 'blocks'),
+('path', 'attack', '0:r1', '1:r2', 'weak'), ('path', 'attack', '1:r2', '2:r3', 'weak'), ('path', 'attack', '0:r1', '2:r3', 'weak'), ('path', 'join', '0:r1', '1:r2', 'nonkey'), ('path', 'join', '1:r2', '2:r3', 'nonkey'),
+('path', 'order', '0:r1', '', '0'), ('path', 'order', '1:r2', '', '1'), ('path', 'order', '2:r3', '', '2'), ('path', 'parent', '0:r1', '', 'root'), ('path', 'parent', '1:r2', '0:r1', 'child'), ('path', 'parent', '2:r3', '1:r2', 'child'),
+('path', 'query', '', '', 'first-order'), ('path', 'query', '', '', 'forest'), ('path', 'query', '', '', 'self-join-free'), ('path', 'query', '', '', 'blocks'),
+('twins', 'join', '0:lineitem', '1:lineitem', 'nonkey'), ('twins', 'join', '1:lineitem', '0:lineitem', 'nonkey'), ('twins', 'attack', '0:lineitem', '1:lineitem', 'strong'), ('twins', 'attack', '1:lineitem', '0:lineitem', 'strong'),
+('twins', 'query', '', '', 'unknown'), ('twins', 'query', '', '', 'no forest'), ('twins', 'query', '', '', 'self-join'), ('twins', 'query', '', '', 'search'),
+('loop', 'join', '0:r1', '1:r2', 'nonkey'), ('loop', 'join', '1:r2', '0:r1', 'nonkey'), ('loop', 'attack', '0:r1', '1:r2', 'weak'), ('loop', 'attack', '1:r2', '0:r1', 'weak'),
+('loop', 'query', '', '', 'polynomial'), ('loop', 'query', '', '', 'no forest'), ('loop', 'query', '', '', 'self-join-free'), ('loop', 'query', '', '', 'search')) t(query, what, atom, other, kind)""",
+        "table_previews": " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST({n} AS INTEGER) AS n_columns, CAST(least(count(*), 5) AS INTEGER) AS n_shown, count(*) AS n_rows FROM {t}" for t, n in (("lineitem", 11), ("part", 6), ("orders", 6), ("customer", 5), ("supplier", 4), ("nation", 3))),
+        "catalogue_keys": "SELECT * FROM (VALUES ('LINEITEM', 'L_ORDERKEY', 0), ('LINEITEM', 'L_LINENUMBER', 1), ('PART', 'P_PARTKEY', 0)) t(table_name, column_name, position)",
+        "delimited_customers": "SELECT * FROM customer",
+        "generated_for_query": """WITH r AS (SELECT unnest(range(count(*))) AS i FROM orders), x AS (SELECT i, i * 7919 % 100 < 50 AS hit, CASE WHEN i // 3 % 100 < 10 THEN i % 3 + 1 ELSE 0 END AS more FROM r),
+c AS (SELECT i, hit, unnest(range(0, more + 1)) AS k FROM x), n AS (SELECT i, k, CASE WHEN hit THEN '-' ELSE '-lineitem-' END || i AS own FROM c)
+SELECT substr(md5('0-l_orderkey' || own), 1, 16) AS l_orderkey, substr(md5('0-l_linenumber' || own), 1, 16) AS l_linenumber,
+substr(md5(CASE WHEN k = 0 THEN '0-p' || own ELSE '0-p-lineitem-' || i || '-' || k END), 1, 16) AS l_partkey FROM n""",
         "denial_safe_orders": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice >= 1500 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = o.o_custkey AND b.o_orderstatus <> o.o_orderstatus AND b.o_totalprice >= 1500)",
         "denial_certain_values": """WITH o AS (SELECT o_custkey, o_orderpriority, o_orderstatus FROM orders WHERE o_totalprice >= 1500), s AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS n FROM o GROUP BY ALL)
 SELECT o.o_custkey, o.o_orderpriority FROM o JOIN s USING (o_custkey) GROUP BY o.o_custkey, o.o_orderpriority HAVING count(DISTINCT o_orderstatus) = any_value(s.n)""",

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from certus.functions.storage import saved
 from certus.plans.query import Database
 
 
@@ -39,8 +40,9 @@ def declared_keys(constraints: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def preview(df: DataFrame, n: int = 10) -> dict:
-    """Column names, the first n rows and the number of all rows."""
+def preview(df: DataFrame, n: int = 10, once: bool = False) -> dict:
+    """Column names, the first n rows and the number of all rows; once: a result is kept first, so that its plan runs a single time."""
+    df = saved(df) if once else df
     return {"columns": df.columns, "data": [json.loads(x) for x in df.limit(n).toJSON().collect()], "row_count": df.count()}
 
 

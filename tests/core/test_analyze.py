@@ -29,7 +29,8 @@ XY = atom("r", a="x", b="y")
 def test_classes(keys, q, attacks, kind, forest):
     got = analyze(database(**{k: list(v) for k, v in keys.items()}), q)
     assert (got["attack_graph"], got["complexity"], got["forest"]) == (attacks, kind, forest)
-    assert got["strategy"] == ("division" if kind == "first-order" else "search")
+    assert got["strategy"] == ("blocks" if got["trees"] is not None else "division" if kind == "first-order" else "search")
+    assert (got["trees"] is not None) == (forest or q.free == ("y",))
 
 
 def test_self_join_is_unknown():

@@ -5,11 +5,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from certus.engine import Engine
 from certus.functions.storage import within
 from certus.operators import blocks
-from certus.operators.generator import block_count, chain, generated
+from certus.operators.generator import block_count, chain, for_query, generated
 from certus.operators.injector import injected, ranked
-from certus.plans.query import Table
+from certus.plans.query import Query, Table, atom
 from certus.sources.tables import declared_keys, delimited, preview, previews
 from certus.streaming.blocks import violating_keys
 
@@ -18,6 +19,7 @@ def test_delimited_and_preview(spark, tmp_path):
     (tmp_path / "t.tbl").write_text("1|a|2.5\n2|b|\n")
     df = delimited(spark, str(tmp_path / "t.tbl"), "id int, name string, v double")
     assert preview(df, 1) == {"columns": ["id", "name", "v"], "data": [{"id": 1, "name": "a", "v": 2.5}], "row_count": 2}
+    assert preview(df, 1, once=True) == preview(df, 1)
 
 
 def test_declared_keys(spark):
@@ -72,6 +74,17 @@ def test_generated(spark):
     assert list(found) == ["r1", "r2"] and found["r2"]["row_count"] == 30 and len(found["r1"]["data"]) == 3
 
 
+def test_generated_for_a_query(spark):
+    q = Query(("x",), (atom("r", a="x", b="y"), atom("s", c="y", d="z")))
+    db = for_query(spark, q, {"r": ["a"], "s": ["c"]}, 1000, joined=40, dirty=12, sizes=(2, 3, 5))
+    assert Engine(db).possible(q).count() >= 400
+    sizes = {r["block_size"]: r["n_blocks"] for r in blocks.histogram(db.tables["s"]).collect()}
+    assert set(sizes) == {1, 2, 3, 5} and sum(sizes.values()) == 1000 and sizes[1] == 1000 - sum(sizes[k] for k in (2, 3, 5))
+    assert for_query(spark, q, {"r": ["a"], "s": ["c"]}, 0).tables["r"].frame.count() == 0
+    with pytest.raises(ValueError, match="own"):
+        for_query(spark, Query((), (q.atoms[0], q.atoms[0])), {"r": ["a"]}, 5)
+
+
 def test_time_limit(spark):
     assert within(spark.range(5), 60).count() == 5
     slow = spark.range(0, 4, 1, 4).mapInPandas(lambda batches: ((time.sleep(30), b)[1] for b in batches), "id long")
