@@ -50,7 +50,8 @@ class ByteLevel:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Tokens that the library takes out of a text before anything else.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.apart = self._encode(["\n"])[0] == np.array([NEWLINE], "<u4").tobytes()
         self.cache = WordCache(lambda words: self._words([w if w == "\n" else w[1:] if w[0] == FIRST else " " + w for w in words]))
 
@@ -74,8 +75,18 @@ class ByteLevel:
         return [known[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts, without special tokens."""
-        return [ids for some in together(texts) for ids in self.cache.ids_of_all([split(t) for t in some])]
+        """Packed ids of whole texts; what a text holds of special tokens counts as such, none are added.
+
+        Texts that hold any go to the library whole, the others word by word.
+        """
+        out = []
+        for some in together(texts):
+            whole = [k for k, t in enumerate(some) if any(a in t for a in self.added)]
+            own = self.cache.ids_of_all([[] if k in whole else split(t) for k, t in enumerate(some)])
+            for k, ids in zip(whole, self._encode([some[k] for k in whole]), strict=True):
+                own[k] = ids
+            out += own
+        return out
 
 
 def plain(line: str) -> bool:

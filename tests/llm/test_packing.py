@@ -41,9 +41,9 @@ def test_plan_uses_every_piece_once():
 
 def test_ids_match_the_library():
     library = Tokenizer.from_file(default_tokenizer())
-    library.encode_special_tokens = True
     mine, r = ByteLevel(default_tokenizer()), random.Random(7)
-    texts = [t or "" for t in ODD] + ["".join(r.choice(" \n\tab.,'s9é　 漢\x1c 🙂") for _ in range(r.randrange(16))) for _ in range(4000)]
+    special = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\ny", " <|endoftext|>", "<|endoftext", "<|endof text|>"]
+    texts = [t or "" for t in ODD] + special + ["".join(r.choice(" \n\tab.,'s9é　 漢\x1c 🙂") for _ in range(r.randrange(16))) for _ in range(4000)]
     many = mine.encode(texts)
     assert many == [mine.encode([t])[0] for t in texts]
     for text in texts:
@@ -53,11 +53,10 @@ def test_ids_match_the_library():
 @pytest.mark.parametrize("capacity", [8, 1024])
 def test_pack(spark, capacity):
     r = random.Random(1)
-    texts = ODD + [" ".join(r.choice(["the", "of", "Zug", "été"]) for _ in range(r.choice([1, 3, 10, 1500]))) for _ in range(60)]
+    texts = ODD + ["one <|endoftext|> two"] + [" ".join(r.choice(["the", "of", "Zug", "été"]) for _ in range(r.choice([1, 3, 10, 1500]))) for _ in range(60)]
     rows = [(i, t, i) for i, t in enumerate(texts)]
     got = pack(spark.createDataFrame(rows, "doc_id long, text string, offset int").repartition(3), capacity=capacity).collect()
     library = Tokenizer.from_file(default_tokenizer())
-    library.encode_special_tokens = True
     by = {}
     for x in got:
         by.setdefault(x.doc_id, []).append(x)
