@@ -29,6 +29,30 @@ class SmallWorld:
             batch = order[done : done + min(BATCH, max(64, done))]
             self._add(batch)
             done += len(batch)
+        self._connect()
+
+    def _connect(self) -> None:
+        """Sees to it that every vector can be reached from the entry at the lowest level."""
+        n = len(self.x)
+        seen, front = np.zeros(n, bool), np.array([self.entry] if n else [], np.int64)
+        while n:
+            while len(front):
+                seen[front] = True
+                front = np.unique(self.links[0][front])
+                front = front[front >= 0]
+                front = front[~seen[front]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                return
+            # the most similar one that can be reached links to the first lost one
+            known = np.flatnonzero(seen)
+            to = int(known[np.argmax(self.x[known] @ self.x[lost[0]])])
+            free = np.flatnonzero(self.links[0][to] < 0)
+            if not len(free):
+                free = [self.links[0].shape[1]]
+                self.links[0] = np.hstack([self.links[0], np.full((n, 1), -1, np.int32)])
+            self.links[0][to, free[0]] = lost[0]
+            front = lost[:1]
 
     def _add(self, batch: np.ndarray) -> None:
         have = self.entry >= 0
@@ -99,8 +123,8 @@ class SmallWorld:
             score = np.einsum("ij,ikj->ik", self.x[own], self.x[np.maximum(ids, 0)])
             links[own] = self._diverse(self.x[own], ids, score, width)
 
-    def _search(self, q: np.ndarray, at: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) and similarities of each query's beam, best first, from the given entries."""
+    def _search(self, q: np.ndarray, at: np.ndarray, level: int, beam: int, also: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) and similarities of each query's beam, best first, from the given entries and, if not -1, one more."""
         n, links = len(self.x), self.links[level]
         rows = np.arange(len(q))
         ids = np.full((len(q), beam), -1, np.int64)
@@ -109,6 +133,9 @@ class SmallWorld:
         opened = np.zeros((len(q), beam), bool)
         seen = np.zeros((len(q), n), bool)
         seen[rows, at] = True
+        if also >= 0 and beam > 1:
+            more = np.flatnonzero(at != also)
+            ids[more, 1], sims[more, 1], seen[more, also] = also, q[more] @ self.x[also], True
         active = rows
         while len(active):
             waiting = np.where(opened[active] | (ids[active] < 0), -np.inf, sims[active])
@@ -137,34 +164,34 @@ class SmallWorld:
         at = np.full(len(q), self.entry)
         for level in range(self.entry_level, 0, -1):
             at = self._search(q, at, level, 1)[0][:, 0]
-        return self._search(q, at, 0, beam)
+        return self._search(q, at, 0, beam, self.entry)
 
     def near(self, q: np.ndarray, least: float, beam: int = 32, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Query rows and ids of what is found at least that similar.
 
-        A query whose beam is full of such ids is searched again with a beam
-        twice as wide. Where the beam would hold an eighth of the graph, the
-        query is compared with all of it, which costs less.
+        Every query goes through the graph. One whose beam is full of such ids
+        is searched again with a beam twice as wide; one that fills a beam of
+        an eighth of the graph has so many that it is compared with all of it.
         """
         out, n = [], len(self.x)
-        todo = np.arange(len(q))
+        todo = np.arange(len(q)) if n else np.zeros(0, np.int64)
         while len(todo):
-            again = []
-            if 8 * beam >= n:
-                for i in range(0, len(todo), 1024):
-                    rows = todo[i : i + 1024]
-                    r, c = np.nonzero(np.asarray(q[rows], np.float32) @ self.x.T >= least)
-                    out.append((rows[r], c))
-                break
+            again, beam = [], min(beam, n)
             step = max(1, min(block, (1 << 21) // beam))
             for i in range(0, len(todo), step):
                 rows = todo[i : i + step]
                 ids, sims = self.search(q[rows], beam)
                 good = (sims >= least) & (ids >= 0)
-                full = good.all(1)
+                full = good.all(1) & (beam < n)
                 again.append(rows[full])
                 r, c = np.nonzero(good & ~full[:, None])
                 out.append((rows[r], ids[r, c]))
             todo = np.concatenate(again)
+            if 8 * beam >= n:
+                for i in range(0, len(todo), 1024):
+                    rows = todo[i : i + 1024]
+                    r, c = np.nonzero(np.asarray(q[rows], np.float32) @ self.x.T >= least)
+                    out.append((rows[r], c))
+                break
             beam *= 2
         return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(2))
