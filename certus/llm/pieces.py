@@ -2,10 +2,12 @@
 
 Normalisation walks the text by longest prefix through the model's compiled
 character map (a double-array trie followed by the replacement strings) and
-notes for every normalised byte the source byte it came from. Pieces are then
-projected to spans of the original text. Segmentation of the normalised text
-is the library's; where no piece crosses a word mark, words are independent
-and their ids are remembered.
+notes for every normalised byte the source byte it came from. Every piece is
+projected through that alignment to a span of the original text. Bytes with
+which nothing in the map begins stand for themselves, so texts of such bytes
+only are aligned without a walk. Segmentation of the normalised text is the
+library's; where no piece crosses a word mark, words are independent and their
+ids are remembered.
 """
 
 from __future__ import annotations
@@ -64,6 +66,12 @@ class CharMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
         self.strings = blob[4 + size :]
+        #: Bytes with which a mapped prefix begins.
+        self.first = np.zeros(256, bool)
+        if self.units:
+            root = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+            for b in range(256):
+                self.first[b] = (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest mapped prefix at a place, and its replacement."""
@@ -84,6 +92,13 @@ class CharMap:
         return found
 
 
+def words_of(norm: str) -> list[str]:
+    """Words of a normalised text without their one leading mark, or with several ones."""
+    if MARK * 2 not in norm:
+        return norm.split(MARK)[1:]
+    return [w[1:] if w[1:2] != MARK else w for w in re.findall(f"{MARK}+[^{MARK}]*", norm)]
+
+
 class PieceModel:
     """A model file: its pieces, its normaliser and the library's segmentation."""
 
@@ -107,9 +122,9 @@ class PieceModel:
         plain = not blob and self.prefix and not self.squeeze and self.escape and not self.suffix
         self.by_word = plain and not any(kind in (USER_DEFINED, UNUSED) for _, kind in self.pieces) and not any(MARK in s.lstrip(MARK) for s in surface)
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        #: Normalised bytes of each piece, and original ones where marks stand for spaces.
+        #: Normalised bytes of each piece.
         self.width = np.array([1 if kind == BYTE else 0 if kind == CONTROL else len(s.encode()) for s, kind in self.pieces], np.int64)
-        self.source = np.array([w if kind == BYTE else w - 2 * s.count(MARK) for (s, kind), w in zip(self.pieces, self.width.tolist(), strict=True)], np.int64)
+        self.unknown = np.array([kind == UNKNOWN for _, kind in self.pieces], bool)
         self.cache = WordCache(self._words)
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -121,9 +136,16 @@ class PieceModel:
         """Normalised bytes, and for each of them and the end the source byte."""
         data = text.encode()
         space = MARK.encode() if self.escape else b" "
-        out, source = bytearray(), []
         if not data:
             return b"", np.zeros(1, np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        if not self.squeeze and not self.map.first[raw].any():
+            blank = raw == 32
+            source = np.repeat(np.arange(len(raw)), np.where(blank, len(space), 1)) if blank.any() else np.arange(len(raw))
+            out, front, back = data.replace(b" ", space), self.prefix and not self.suffix, self.prefix and self.suffix
+            source = np.concatenate([np.zeros(len(space) * front, np.int64), source, np.full(len(space) * back + 1, len(data))])
+            return space * front + out + space * back, source
+        out, source = bytearray(), []
 
         def put(piece: bytes, at: int, same: bool = False) -> None:
             own = piece.replace(b" ", space)
@@ -171,34 +193,22 @@ class PieceModel:
         begin, end and a mark that stands for no source byte have empty ones.
         """
         begin, end = packed([self.bos]), packed([self.eos])
+        norm, source = self.normalise(text)
         if self.by_word:
-            if not text:
-                inner = b""
-            elif "  " not in text and MARK not in text and text[0] != " ":
-                inner = self.cache.ids(text.split(" "))
-            else:
-                inner = self.cache.ids([w[1:] if w[1:2] != MARK else w for w in re.findall(f"{MARK}+[^{MARK}]*", (MARK + text).replace(" ", MARK))])
+            inner = self.cache.ids(words_of(norm.decode()))
         else:
             inner = packed(self.library.encode(text))
         ids = np.frombuffer(inner, "<u4")
-        if self.by_word and MARK not in text:
-            stops = np.cumsum(self.source[ids])
-            if len(stops):
-                stops -= 1  # the mark in front stands for no byte
-            starts = np.r_[0, stops[:-1]] if len(stops) else stops
-        else:
-            norm, source = self.normalise(text)
-            widths = self.width[ids]
-            unknown = np.flatnonzero(np.array([self.pieces[i][1] == UNKNOWN for i in ids.tolist()], bool))
-            if len(unknown):  # an unknown piece covers what the others leave
-                said = self.library.encode(text, out_type=str)
-                widths = widths.copy()
-                widths[unknown] = [len(said[i].encode()) for i in unknown]
-            edges = np.r_[0, np.cumsum(widths)]
-            starts, stops = source[edges[:-1]], source[edges[1:]]
-            assert edges[-1] == len(norm), "pieces don't cover the normalised text"
-        size = len(text.encode())
-        return begin + inner + end, np.r_[0, starts, size], np.r_[0, stops, size]
+        widths = self.width[ids]
+        unknown = np.flatnonzero(self.unknown[ids])
+        if len(unknown):  # an unknown piece covers what the others leave
+            said = self.library.encode(text, out_type=str)
+            widths[unknown] = [len(said[i].encode()) for i in unknown]
+        edges = np.concatenate([[0], np.cumsum(widths)])
+        if edges[-1] != len(norm):
+            raise ValueError("pieces don't cover the normalised text")
+        starts, stops, size = source[edges[:-1]], source[edges[1:]], len(text.encode())
+        return begin + inner + end, np.concatenate([[0], starts, [size]]), np.concatenate([[0], stops, [size]])
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())

@@ -71,6 +71,50 @@ def test_compiled_map_normalises_like_the_library(model, rule):
         assert len(source) == len(norm) + 1 and (np.diff(source) >= 0).all() and source[-1] <= len(text.encode())
 
 
+def field(number, kind, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3 | kind) + (varint(value) if kind == 0 else varint(len(value)) + value)
+
+
+@pytest.fixture(scope="module", params=["nmt_nfkc", "nfkc_cf"])
+def mapped(request, tmp_path_factory):
+    """The model with the compiled character map of a normalisation rule."""
+    with open(default_model(), "rb") as f:
+        data = f.read()
+    spec = dict(fields(dict(fields(sentencepiece.SentencePieceNormalizer(rule_name=request.param).serialized_model_proto()))[3]))
+    ours = field(1, 2, request.param.encode()) + field(2, 2, spec[2]) + field(3, 0, 1) + field(4, 0, 1) + field(5, 0, 1)
+    path = tmp_path_factory.mktemp("model") / "mapped.model"
+    path.write_bytes(b"".join(field(n, 2, v) for n, v in fields(data) if n != 3) + field(3, 2, ours))
+    return PieceModel(str(path))
+
+
+def test_encoding_through_a_character_map(mapped):
+    """Ids are the library's, and so is the part of the text that each piece stands for."""
+    assert mapped.map.first.any() and not mapped.by_word
+    odd = ["ＡＢＣ　ｄｅｆ", "ﬁne ½ Å é é", "  two  spaces ", "ＫＡＤＯＫＡＷＡ ㌔㍍", "İSTANBUL ẞ", "a\tb\r", "가각", "plain words only", "x ﬁ" * 300]
+    for text in odd + [t or "" for t in TEXTS[:7]] + random_texts(400):
+        ids, starts, stops = mapped.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == mapped.library.encode(text, add_bos=True, add_eos=True), repr(text)
+        data, said = text.encode(), mapped.library.encode(text, return_type="proto").pieces
+        for p, a, b in zip(said, starts[1:-1].tolist(), stops[1:-1].tolist(), strict=True):
+            if mapped.pieces[p.id][1] != 6:
+                assert (a, b) == (p.begin, p.end) and data[a:b].decode() == p.surface, (text, p.piece)
+        assert starts[0] == stops[0] == 0 and starts[-1] == stops[-1] == len(data)
+
+
+def test_alignment_without_a_walk_equals_the_walk(model):
+    slow = PieceModel(default_model())
+    slow.map.first = np.ones(256, bool)
+    for text in [t or "" for t in TEXTS] + random_texts(600):
+        a, b = model.normalise(text), slow.normalise(text)
+        assert a[0] == b[0] and a[1].tolist() == b[1].tolist()
+
+
 def test_frames(spark, model):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "x", "y"), (3, "Hello  world", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
