@@ -37,9 +37,9 @@ def chunk_count(docs: DataFrame, text: str = "text") -> int:
 
 
 def in_chunks(docs: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, text (null: empty) and the chunk that a hash of doc_id deals them to."""
+    """doc_id, text (null: empty) and the chunk that a hash of both deals them to, so that no id fills a chunk."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"),
     )

@@ -12,7 +12,7 @@ repeats can be, in tasks of bounded size:
 2. Around each shared anchor a chunk cuts the context that windows over it can
    cover, and sends every different context once, with its smallest doc_id.
 3. A bucket sorts the suffixes that begin at its anchors (see suffixes.py; the
-   symbols are the anchor and the blocks of bytes that follow it) and, as
+   symbols are the anchor and the bytes that follow it, two at a time) and, as
    strings, what stands before the anchors, read backwards. Runs of common
    prefixes in both orders are the groups of equal windows; each learns its
    smallest doc_id.
@@ -40,8 +40,6 @@ WINDOW, ANCHOR = 50, 24
 #: Anchors that a window may have, which is also the number of offsets of windows over an anchor.
 REACH = WINDOW - ANCHOR + 1
 BEFORE = REACH - 1
-#: Bytes of each symbol after the anchor; together they fill the window.
-BLOCK = 9
 #: Stands for no document, and for the doc_id of a row that has none.
 NONE = np.iinfo(np.int64).max
 PIECE = 1 << 15
@@ -236,16 +234,21 @@ def _runs(order: np.ndarray, rows: np.ndarray, cluster: np.ndarray, most: int) -
 
 
 def anchor_order(after: np.ndarray, cluster: np.ndarray) -> np.ndarray:
-    """Rows in the order of the suffixes that begin at their anchors, cluster by cluster."""
-    columns, top = [], 2
-    size = int(cluster.max(initial=0)) + 1
-    columns.append(cluster + top)
-    for start in range(ANCHOR, WINDOW, BLOCK):
-        block = np.ascontiguousarray(after[:, start : start + BLOCK])
-        columns.append(distinct_rows(block)[1] + top + size)
-    text = np.column_stack([*columns, np.ones(len(after), np.int64)])
+    """Rows in the order of the suffixes that begin at their anchors, cluster by cluster.
+
+    The suffixes are those of one text: a symbol for each cluster's anchor,
+    the bytes after it two at a time, and an end that is less than all of them.
+    Rows that are alike have the same suffix, which is sorted once.
+    """
+    first, of = distinct_rows(np.hstack([cluster.astype(">u4").view(np.uint8).reshape(-1, 4), after[:, ANCHOR:]]))
+    if not len(first):
+        return np.zeros(0, np.int64)
+    units = np.ascontiguousarray(after[first, ANCHOR:]).view(">u2").astype(np.int64)
+    text = np.column_stack([cluster[first] + (1 << 16) + 1, units + 1, np.zeros(len(first), np.int64)])
     order = np.array(suffix_order(text.ravel().tolist()), np.int64)
-    return order[order % text.shape[1] == 0] // text.shape[1]
+    place = np.empty(len(first), np.int64)
+    place[order[order % text.shape[1] == 0] // text.shape[1]] = np.arange(len(first))
+    return np.argsort(place[of], kind="stable")
 
 
 def least_by_offset(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -361,7 +364,7 @@ def _cut(full: bool):
 
 
 def _dealt(docs: DataFrame, chunks: int) -> DataFrame:
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit("")), "chunk": number})
 
 
