@@ -1,22 +1,20 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph (a line of a text) is a sparse vector of hashed word one-, two-
-and three-grams. Multinomial logistic regression, trained on variants of
-licence notices and on a bounded sample of corpus paragraphs, gives it a
-licence family or the class ``unknown``; a temperature and a threshold for
-the unknown class are calibrated on variants kept aside. A family counts when
-a notice of that family, compared word by word, is found in the paragraph.
-
-A notice is found only with a word that it leans on ("licence", "rights
-reserved"), so a paragraph without any can't be confirmed and isn't scored.
-That test is exact, and it decides nearly all paragraphs.
+A text is looked at by lines and by paragraphs, that is, the lines between
+blank ones; longer ones than a window in overlapping windows. A window is a
+sparse vector of hashed word one-, two- and three-grams. Multinomial logistic
+regression, trained on variants of licence texts and on a bounded sample of
+corpus lines, gives it a licence family or the class ``unknown``, whose
+calibration is measured on variants kept aside. Every window of every text is
+classified; where the unknown class is the most probable one, that is the
+result. Elsewhere the windows that touch are one place, and a family counts if
+a template of that family, compared word by word, is found there.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,177 +23,246 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notices by licence family.
-NOTICES = {
-    "AGPL-3.0": ["licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "released under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "under the Apache 2.0 license"],
-    "BSD-2-Clause": ["licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSD-3-Clause": ["licensed under the BSD 3-Clause License", "released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "under a BSD style license"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "This work is licensed under CC BY 4.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
-    "CC0-1.0": ["released under CC0 1.0 Universal license", "licensed under the CC0 1.0 Universal Public Domain Dedication", "SPDX-License-Identifier: CC0-1.0"],
-    "GPL-2.0": ["licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "under the terms of the GNU General Public License version 2"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "licensed under the GNU General Public License v3", "SPDX-License-Identifier: GPL-3.0-only", "under the terms of the GNU General Public License version 3"],
-    "ISC": ["released under the ISC License", "licensed under the ISC License", "SPDX-License-Identifier: ISC"],
-    "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "MIT": ["Released under the MIT License", "licensed under the MIT License", "SPDX-License-Identifier: MIT", "This project is under the MIT license"],
-    "MPL-2.0": ["licensed under the Mozilla Public License, version 2.0", "subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
-    "Unlicense": ["released under the Unlicense license", "SPDX-License-Identifier: Unlicense"],
-    "all-rights-reserved": ["All rights reserved", "Copyright holder. All rights reserved", "All rights reserved. No licence is granted"],
-}
-#: Share of a notice's word pairs that a paragraph must have.
+from certus.llm.license_texts import BODIES, NOTICES
+from certus.llm.wordcache import together
+
+UNKNOWN = "unknown"
+#: Share of a template's word pairs that a place must have.
 CONFIRMED = 0.8
-#: Hashed features; corpus paragraphs for the unknown class, and the length of those that are read for it.
-FEATURES, NEGATIVES, SAMPLE_DOCUMENTS, STEPS = 1 << 14, 2000, 400, 300
+#: Words of a window, and from one to the next.
+WINDOW, STEP = 16, 8
+#: Hashed features; corpus lines for the unknown class, and the documents that are read for it.
+FEATURES, NEGATIVES, SAMPLE_DOCUMENTS, SAMPLE_CHARS, STEPS = 1 << 16, 3000, 400, 100_000, 500
+#: What the weights of a window's features are multiplied with.
+SCALE = 0.2
+#: Words whose hashes are remembered.
+REMEMBERED = 1 << 20
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 
 
-def words(paragraph: str) -> list[str]:
-    return WORD.findall(paragraph.lower())
+def words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
 
 
 def pairs(w: list[str]) -> set[tuple[str, str]]:
     return set(zip(w, w[1:], strict=False))
 
 
-def leans(pair: tuple[str, str]) -> bool:
-    """Whether a word pair is one of those of which a paragraph needs at least one."""
-    return "licen" in pair[0] or "licen" in pair[1] or pair == ("rights", "reserved")
-
-
 @lru_cache(maxsize=1)
-def templates() -> list[tuple[str, set, set]]:
-    """Family, word pairs and the pairs it leans on of every notice."""
-    return [(name, p, set(filter(leans, p))) for name, own in NOTICES.items() for p in (pairs(words(n)) for n in own)]
-
-
-def features(w: list[str]) -> np.ndarray:
-    """Hashed one-, two- and three-grams of words, different ones once."""
-    grams = {*w, *map(" ".join, zip(w, w[1:], strict=False)), *map(" ".join, zip(w, w[1:], w[2:], strict=False))}
-    return np.fromiter({zlib.crc32(g.encode("utf-8", "surrogatepass")) % FEATURES for g in grams}, np.int64)
-
-
-def confirmed(w: list[str], family: str) -> bool:
-    """Whether the paragraph's words hold a notice of the family closely, and no other family's better.
-
-    A notice is held if enough of its word pairs are there, one that it leans
-    on among them. The best share decides; of equal shares the longer notice,
-    so that GPL version 3 isn't taken for one without a version.
-    """
-    own, best = pairs(w), {family: (0, 0)}
-    for name, p, needed in templates():
-        if needed & own:
-            best[name] = max(best.get(name, (0, 0)), (len(p & own) / len(p), len(p)))
-    return best[family][0] >= CONFIRMED and best[family] == max(best.values())
+def templates() -> list[tuple[str, set]]:
+    """Family and word pairs of every notice and every paragraph of a licence."""
+    return [(name, pairs(words(t))) for own in (NOTICES, BODIES) for name, texts in own.items() for t in texts]
+
+
+def shares(w: list[str]) -> dict[str, tuple[float, int, set]]:
+    """By family, of the template that is held best: the share of its pairs, their number and the pairs."""
+    own, best = pairs(w), {}
+    for name, p in templates():
+        if p & own:
+            best[name] = max(best.get(name, (0, 0, set())), (len(p & own) / len(p), len(p), p), key=lambda x: x[:2])
+    return best
+
+
+class Hasher:
+    """Features of the n-grams that begin at each word."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, w: list[str]) -> np.ndarray:
+        """Rows of three features: of one, two and three words; n-grams over the end have the feature 0."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        known.update((x, zlib.crc32(x.encode("utf-8", "surrogatepass"))) for x in set(w) - known.keys())
+        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        out = np.zeros((len(w), 3), np.int64)
+        mixed = h
+        for n in range(3):
+            if n:
+                mixed = mixed[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n:]
+            key = (mixed + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+            out[: len(mixed), n] = 1 + (key >> np.uint64(40)) % np.uint64(FEATURES - 1)
+        return out
+
+
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, start in it and end of the overlapping windows of units with so many words."""
+    count = np.where(lengths > WINDOW, -(-(lengths - WINDOW) // STEP) + 1, lengths > 0)
+    unit = np.repeat(np.arange(len(lengths)), count)
+    start = (np.arange(len(unit)) - np.repeat(np.cumsum(count) - count, count)) * STEP
+    return unit, start, np.minimum(start + WINDOW, lengths[unit])
 
 
 class Classifier:
     """Sparse logistic regression over licence families and the unknown class."""
 
-    def __init__(self, paragraphs: list[str], seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.families = [*sorted(NOTICES), "unknown"]
-        filler = [x for p in paragraphs for x in words(p)] or ["text"]
+    def __init__(self, lines: list[str], seed: int = 3):
+        rng, hasher = np.random.default_rng(seed), Hasher()
+        self.families = [*sorted(NOTICES), UNKNOWN]
+        none = len(self.families) - 1
+        filler = [x for p in lines for x in words(p)] or ["text"]
         rows: list[tuple[list[str], int]] = []
         for k, name in enumerate(self.families[:-1]):
-            for notice in NOTICES[name]:
-                w = words(notice)
+            for text in NOTICES[name] + BODIES.get(name, []):
+                w = words(text)
                 for _ in range(24):
-                    around = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 12))]
+                    at = int(rng.integers(0, max(1, len(w) - WINDOW + 1)))
+                    own = [x for x in w[at : at + WINDOW] if rng.random() > 0.04]
+                    around = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, max(1, WINDOW - len(own) + 1)))]
                     cut = int(rng.integers(0, len(around) + 1))
-                    kept = [x for x in w if rng.random() > 0.04]
-                    rows.append(([*around[:cut], *kept, *around[cut:]], k))
-                    loose = [w[i] for i in rng.permutation(len(w))[: max(1, len(w) // 2)]]
-                    rows.append(([*around[:cut], *loose, *around[cut:]], len(self.families) - 1))
-        rows += [(words(p), len(self.families) - 1) for p in paragraphs]
+                    rows.append(([*around[:cut], *own, *around[cut:]], k))
+                    loose = [own[i] for i in rng.permutation(len(own))[: max(1, len(own) // 2)]]
+                    rows.append(([*around[:cut], *loose, *around[cut:]], none))
+        rows += [(w[:WINDOW], none) for w in map(words, lines) if w]
+        features, want = [hasher(w).ravel() for w, _ in rows], np.array([k for _, k in rows])
         order = rng.permutation(len(rows))
-        aside = set(order[: len(order) // 5].tolist())
-        sets, want = [features(w) for w, _ in rows], np.array([k for _, k in rows])
+        held, train = order[: len(order) // 5], order[len(order) // 5 :]
         self.weights, self.bias = np.zeros((FEATURES, len(self.families)), np.float32), np.zeros(len(self.families), np.float32)
         squares = np.full_like(self.weights, 1e-8)
-        train = np.array([i for i in order if i not in aside])
         for _ in range(STEPS):
             batch = rng.choice(train, min(256, len(train)))
-            z = np.array([self._logits(sets[i]) for i in batch])
-            d = self._softmax(z)
+            d = self._softmax(np.array([self._logits(features[i]) for i in batch]))
             d[np.arange(len(batch)), want[batch]] -= 1
             self.bias -= 0.1 * d.mean(0)
-            rows_at = np.concatenate([sets[i] for i in batch])
-            of = np.repeat(np.arange(len(batch)), [len(sets[i]) for i in batch])
-            at, where = np.unique(rows_at, return_inverse=True)
-            g = np.zeros((len(at), len(self.families)), np.float32)
-            np.add.at(g, where, d[of] / np.sqrt([max(1, len(sets[i])) for i in batch])[of, None])
+            of = np.repeat(np.arange(len(batch)), [len(features[i]) for i in batch])
+            flat = np.concatenate([features[i] for i in batch])
+            order = np.argsort(flat, kind="stable")
+            at, first = np.unique(flat[order], return_index=True)
+            g = np.add.reduceat((SCALE * d)[of[order]], first).astype(np.float32)
             squares[at] += g * g
-            self.weights[at] -= 0.5 * g / np.sqrt(squares[at]) + 1e-5 * self.weights[at]
-        # temperature and the unknown class's threshold on what was kept aside
-        held = sorted(aside)
-        z = np.array([self._logits(sets[i]) for i in held])
+            self.weights[at] -= 0.5 * g / np.sqrt(squares[at]) + 1e-4 * self.weights[at]
+        self.weights[0] = 0
+        # the temperature, and what a family must reach, from what was kept aside
+        z = np.array([self._logits(features[i]) for i in held])
         losses = {t: -np.log(self._softmax(z / t)[np.arange(len(held)), want[held]] + 1e-12).mean() for t in (0.25, 0.5, 1.0, 2.0, 4.0)}
         self.temperature = min(losses, key=losses.get)
         p = self._softmax(z / self.temperature)
-        known = want[held] < len(self.families) - 1
-        right = p[:, :-1].max(1)[known & (p[:, :-1].argmax(1) == want[held])]
-        #: Paragraphs with less for their best family are unknown: 99 of 100 right ones kept aside have more.
+        right = p[np.arange(len(held)), want[held]][(want[held] < none) & (p.argmax(1) == want[held])]
+        #: Families with less are no candidates: 99 of 100 right ones kept aside have more.
         self.least = float(min(0.5, np.quantile(right, 0.01))) if len(right) else 0.5
 
-    def _logits(self, f: np.ndarray) -> np.ndarray:
-        return self.weights[f].sum(0) / np.sqrt(max(1, len(f))) + self.bias
+    def _logits(self, features: np.ndarray) -> np.ndarray:
+        return SCALE * self.weights[features].sum(0) + self.bias
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def ranked(self, w: list[str]) -> list[tuple[str, float]]:
-        """Families that reach the calibrated threshold, most probable first."""
-        p = self._softmax(self._logits(features(w))[None] / self.temperature)[0, :-1]
-        return [(self.families[k], float(p[k])) for k in np.argsort(-p, kind="stable") if p[k] >= self.least]
-
-    def family(self, paragraph: str) -> tuple[str, float] | None:
-        """The confirmed licence family of a paragraph and its probability."""
-        w = words(paragraph)
-        return next(((name, p) for name, p in self.ranked(w) if confirmed(w, name)), None)
-
-
-@lru_cache(maxsize=1)
-def may_hold() -> re.Pattern:
-    return re.compile("licen|rights[\\W_]+reserved", re.IGNORECASE)
+    def probabilities(self, features: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of the families in windows of words, given each word's features."""
+        if not len(start):
+            return np.zeros((0, len(self.families)), np.float32)
+        each = self.weights[features[:, 0]]
+        each += self.weights[features[:, 1]]
+        each += self.weights[features[:, 2]]
+        total = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, 0, np.float64)])
+        z = SCALE * (total[end] - total[start]) + self.bias
+        return self._softmax(z / self.temperature)
+
+    def candidates(self, p: np.ndarray) -> list[str]:
+        """Families that reach the calibrated threshold in some window, most probable first."""
+        best = p[:, :-1].max(0)
+        return [self.families[k] for k in np.argsort(-best, kind="stable") if best[k] >= self.least]
+
+
+def places(model: Classifier, features: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, list[str]]]:
+    """Unit, first and last word (with a step more on either side) and candidates of windows that touch and aren't unknown."""
+    unit, start, end = windows(lengths)
+    p = model.probabilities(features, starts[unit] + start, starts[unit] + end)
+    at = np.flatnonzero(p.argmax(1) < len(model.families) - 1)
+    new = np.r_[True, (unit[at][1:] != unit[at][:-1]) | (start[at][1:] > end[at][:-1])] if len(at) else np.zeros(0, bool)
+    cuts = np.r_[np.flatnonzero(new), len(at)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own, u = at[a:b], int(unit[at[a]])
+        yield u, max(0, int(start[own].min()) - STEP), min(int(lengths[u]), int(end[own].max()) + STEP), model.candidates(p[own])
+
+
+def confirmed(w: list[str], families: list[str]) -> tuple[str, int, int] | None:
+    """The first of some families of which the words hold a template closely, and no other family's better; with its extent.
+
+    The best share decides; of equal shares the longer template, so that GPL
+    version 3 isn't taken for one without a version. What two families' texts
+    have in common, and no more, is neither's.
+    """
+    best = shares(w)
+    top = max((x[:2] for x in best.values()), default=(0, 0))
+    if sum(x[:2] == top for x in best.values()) > 1:
+        return None
+    for name in families:
+        share, n, held = best.get(name, (0, 0, set()))
+        if share >= CONFIRMED and (share, n) == top:
+            at = [i for i, pair in enumerate(zip(w, w[1:], strict=False)) if pair in held]
+            return name, at[0], at[-1] + 1
+    return None
+
+
+def notices_in(model: Classifier, hasher: Hasher, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Family, first and last word of the notices in each text.
+
+    A notice is found in a line, or in a paragraph of several lines where no
+    line of its own has a notice of that family.
+    """
+    all_words: list[str] = []
+    lines: list[tuple[int, int, int]] = []  # text, first word, number of words
+    paragraphs: list[tuple[int, int, int]] = []
+    for k, text in enumerate(texts):
+        for paragraph in BLANK.split(text):
+            first, n = len(all_words), 0
+            for line in paragraph.split("\n"):
+                if w := words(line):
+                    lines.append((k, len(all_words), len(w)))
+                    all_words += w
+                    n += 1
+            if n > 1:
+                paragraphs.append((k, first, len(all_words) - first))
+    features, out = hasher(all_words), [[] for _ in texts]
+    for units in (lines, paragraphs):
+        if units:
+            of, starts, lengths = np.array(units).T
+            for u, a, b, families in places(model, features, starts, lengths):
+                at = int(starts[u])
+                hit = confirmed(all_words[at + a : at + b], families)
+                if hit:
+                    own, found = (at + a + hit[1], at + a + hit[2]), out[int(of[u])]
+                    if not any(name == hit[0] and s <= own[1] and own[0] <= e for name, s, e in found):
+                        found.append((hit[0], *own))
+    return out
 
 
 def _scanned(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = may_hold()
-        for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                found, n = Counter(), 0
-                if text and maybe.search(text):
-                    for paragraph in text.split("\n"):
-                        if maybe.search(paragraph) and (hit := model.family(paragraph)):
-                            found[hit[0]] += 1
-                            n += 1
-                out.append((sorted(found), n))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(f) for f, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["doc_id", "families", "n_notices"])
+        hasher = Hasher()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                found = [x for some in together([t or "" for t in b.column(1).to_pylist()]) for x in notices_in(model, hasher, some)]
+                names = [",".join(sorted({name for name, _, _ in f})) for f in found]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(list(map(len, found)), pa.int64())], names=["doc_id", "families", "n_notices"])
 
     return run
 
 
 def sample(docs: DataFrame) -> list[str]:
-    """Paragraphs of a bounded number of documents, none with a word that notices lean on."""
-    usable = docs.where("text is not null")
-    n = usable.count()
-    spot = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1 << 30))
-    rows = usable.where((F.octet_length("text") < 100_000) & (spot < int((1 << 30) * min(1.0, SAMPLE_DOCUMENTS / max(1, n))))).select(spot.alias("spot"), "text").limit(2 * SAMPLE_DOCUMENTS).collect()
-    out = [p for r in sorted(rows, key=lambda r: (r.spot, r.text)) for p in r.text.split("\n") if p.strip() and not may_hold().search(p)]
-    return [" ".join(p.split()[:60]) for p in out[:NEGATIVES]]
+    """Lines of a bounded number of documents, none of which holds half a template."""
+    usable = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") < SAMPLE_CHARS))
+    rows = usable.select("text").orderBy(F.xxhash64("doc_id", "text", F.lit("licence")), "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
+    out = []
+    for p in (p for r in rows for p in r.text.split("\n") if p.strip()):
+        if len(out) == NEGATIVES:
+            break
+        if w := words(p)[: 2 * WINDOW]:
+            if max((x[0] for x in shares(w).values()), default=0) < 0.5:
+                out.append(" ".join(w))
+    return out
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, families (sorted, comma-separated; empty: none), n_notices (paragraphs with a confirmed notice).
+    """doc_id, families (sorted, comma-separated; empty: none), n_notices (places with a confirmed notice).
 
-    Whole texts are read. A null text has no paragraph. Repeated rows and null
+    Whole texts are read. A null text has no notice. Repeated rows and null
     ids each get a row; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
