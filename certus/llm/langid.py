@@ -1,12 +1,15 @@
 """Language identification with a string kernel.
 
 Two texts are as alike as the sets of character n-grams (lengths 1 to 3,
-blended) that are present in both: the number of shared n-grams over the root
-of the product of the set sizes. Landmark texts span a Nyström feature space
+blended, hashed from their code points) that are present in both: the number
+of shared n-grams over the root of the product of the set sizes. Landmark texts span a Nyström feature space
 of this kernel, and one ridge regression per language against the rest is
 solved in it. A batch of texts is scored by two matrix products: presence by
 landmarks, then kernel values by the solved weights.
 
+Letters of all scripts count, in lower case; what isn't a letter is one mark
+for each run of it.
+
 The model is fitted on a bounded sample of labelled rows: ``per_language``
 texts of each language (chosen by a hash of doc_id), ``TRAIN_ROWS`` in all.
 Prediction reads whole texts.
@@ -14,8 +17,8 @@ Prediction reads whole texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,48 +27,48 @@ from pyspark.sql import functions as F
 
 #: Bounds of the fitted sample, and the number of landmarks in it.
 PER_LANGUAGE, TRAIN_ROWS, LANDMARKS = 500, 4000, 128
-#: Symbols: 0 for what isn't a letter, 1 for rare letters, the rest for frequent ones.
-SYMBOLS, RIDGE, SHARPNESS = 64, 1e-3, 4.0
-BIGRAMS, TRIGRAMS = SYMBOLS, SYMBOLS + SYMBOLS**2
-GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-
-
-def lower_point(point: int) -> int:
-    low = chr(point).lower()
-    return ord(low) if len(low) == 1 else point
+#: Codes that n-grams are hashed to; regularisation; how scores are sharpened to shares.
+GRAMS, RIDGE, SHARPNESS = 1 << 18, 1e-3, 4.0
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbol_table(texts: list[str]) -> np.ndarray:
-    """Code point (all beyond the first plane as one) to symbol."""
-    seen: Counter[int] = Counter()
-    for t in texts:
-        points, n = np.unique(code_points(t), return_counts=True)
-        for p, k in zip(points.tolist(), n.tolist(), strict=True):
-            if chr(p).isalpha():
-                seen[lower_point(p)] += k
-    frequent = {p: i + 2 for i, (p, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])}
-    table = np.zeros(0x10001, np.uint8)
-    for p in range(0x10000):
-        if chr(p).isalpha():
-            table[p] = frequent.get(lower_point(p), 1)
-    table[0x10000] = 1
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Code point to that of the lower-case letter; 0 for what isn't a letter."""
+    table = np.zeros(0x110000, np.uint32)
+    for p in range(0x110000):
+        c = chr(p)
+        if c.isalpha():
+            low = c.lower()
+            table[p] = ord(low) if len(low) == 1 else p
     return table
 
 
-def present(text: str, table: np.ndarray, flags: np.ndarray) -> np.ndarray:
+def symbols(text: str) -> np.ndarray:
+    """Letters, and a 0 for each run of other characters and for both ends."""
+    s = letters()[code_points(text)]
+    return np.concatenate([np.zeros(1, np.uint32), s[(s > 0) | np.r_[False, s[:-1] > 0]], np.zeros(1, np.uint32)])
+
+
+def codes(s: np.ndarray) -> np.ndarray:
+    """Hashes of all n-grams of some symbols, of one after those of two after those of three."""
+    out = []
+    for n in (3, 2, 1):
+        h = np.full(max(0, len(s) - n + 1), n, np.uint32)
+        for k in range(n):
+            h = (h ^ s[k : len(s) - n + 1 + k]) * _FACTORS[k]
+            h ^= h >> np.uint32(15)
+        out.append(h & np.uint32(GRAMS - 1))
+    return np.concatenate(out)
+
+
+def present(text: str, flags: np.ndarray) -> np.ndarray:
     """Codes of the n-grams that occur, ascending. flags: zeros, left as such."""
-    s = table[np.minimum(code_points(text), 0x10000)].astype(np.int32)
-    s = np.concatenate(([0], s[(s > 0) | np.r_[False, s[:-1] > 0]], [0]))  # one mark for each run of other characters
-    tri = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-    flags[TRIGRAMS + tri] = True
-    tri = np.flatnonzero(flags[TRIGRAMS:])
-    flags[BIGRAMS + tri // SYMBOLS] = True
-    flags[BIGRAMS + s[-2] * SYMBOLS + s[-1]] = True
-    flags[tri // SYMBOLS % SYMBOLS] = True
+    flags[codes(symbols(text))] = True
     out = np.flatnonzero(flags)
     flags[out] = False
     return out
@@ -75,10 +78,9 @@ class KernelClassifier:
     """Nyström landmarks and the solved weights of every language."""
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS):
-        self.table = symbol_table(texts)
         self.langs = sorted(set(langs))
         flags = np.zeros(GRAMS, bool)
-        sets = [present(t, self.table, flags) for t in texts]
+        sets = [present(t, flags) for t in texts]
         chosen = self._landmarks(sets, langs, landmarks)
         grams = np.unique(np.concatenate([sets[i] for i in chosen]))
         self.column = np.full(GRAMS, -1, np.int32)
@@ -117,7 +119,7 @@ class KernelClassifier:
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and a score from 0 to 1 for each text."""
         flags = np.zeros(GRAMS, bool)
-        f = self._kernel([present(t, self.table, flags) for t in texts]) @ self.weights + self.bias
+        f = self._kernel([present(t, flags) for t in texts]) @ self.weights + self.bias
         p = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         return f.argmax(1), p.max(1).astype(np.float64)
@@ -132,8 +134,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str]
     if chance is None:
         return [], []
     spot = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(1 << 30)
-    rows = usable.where(spot < chance[F.col("lang")]).select("text", "lang", spot.alias("spot")).limit(2 * TRAIN_ROWS).collect()
-    rows = [r for r in sorted(rows, key=lambda r: (r.spot, r.lang, r.text)) if any(map(str.isalpha, r.text))]
+    rows = usable.where(spot < chance[F.col("lang")]).select("text", "lang", spot.alias("spot")).orderBy("spot", "lang", "text").limit(2 * TRAIN_ROWS).collect()
+    rows = [r for r in rows if any(map(str.isalpha, r.text))]
     return [r.text for r in rows], [r.lang for r in rows]
 
 
