@@ -178,10 +178,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    first = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    told = rows.join(first, "sha", "left")
-    revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    told = told.select("page_id", "url", "html", F.when(revisits, F.col("first_id")).alias("first_id"))
+    # only digests that occur twice, and of those only ids, meet; pages come to their answer by id and digest
+    first = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = rows.where(F.octet_length("html") >= least).select("page_id", "sha").join(first, "sha").where("not page_id <=> first_id").distinct()
+    same = F.col("rows.page_id").eqNullSafe(F.col("repeated.page_id")) & (F.col("rows.sha") == F.col("repeated.sha"))
+    told = rows.alias("rows").join(repeated.alias("repeated"), same, "left").select("rows.page_id", "url", "html", "first_id")
     return saved(told.mapInArrow(_written(folder), "path string, records long, bytes long"))
 
 
