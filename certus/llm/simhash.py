@@ -179,10 +179,11 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     included. A null text is an empty one; texts without words have fingerprint
     zero and link like any other. Rows that repeat a doc_id are returned as
     often as they occur. A row whose doc_id is null can't be named by a
-    component and is left out. Other columns are ignored. An empty table gives
-    an empty result.
+    component: it links with nothing, and its component_id is null. Other
+    columns are ignored. An empty table gives an empty result.
     """
-    own = saved(fingerprints(docs.where("doc_id is not null"), words))
+    every = saved(fingerprints(docs, words))
+    own = every.where("doc_id is not null")
     first = saved(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     roots = connected_components(simhash_links(first, threshold))
     # a doc_id that occurs twice may have two fingerprints; they are one document
@@ -191,7 +192,8 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     if not both.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(both))
     labelled = first.join(roots, first.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
-    return own.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    told = own.join(labelled, "fp").unionByName(every.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:

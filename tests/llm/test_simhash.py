@@ -82,7 +82,9 @@ def test_every_flip_of_two_bits_shares_an_anchor():
 def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(4, "a b c d"), (4, "a b c d"), (2, "a b c d"), (None, "a b c d"), (9, "other words in here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((x.doc_id, x.component_id) for x in simhash_groups(docs).collect()) == [(2, 2), (4, 2), (4, 2), (9, 9)]
+    got = simhash_groups(docs).collect()
+    assert sorted((x.doc_id or 0, x.component_id) for x in got) == [(0, None), (2, 2), (4, 2), (4, 2), (9, 9)]
+    assert len({x.fingerprint for x in got}) == 2
     assert sorted(x.doc_id for x in simhash_dedup(docs).where("doc_id is not null").collect()) == [2, 9]
     assert simhash_groups(docs.limit(0)).count() == 0
 
