@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from certus.llm.vectors import matrix, usable
 
-#: Bound of the fitted sample; neighbours in its graph; units of the classifier.
-SAMPLE, GRAPH_NEIGHBOURS, HIDDEN = 4096, 12, 128
-#: Rows that a part should have, and bounds of the number of parts.
-PART_ROWS, FEWEST, MOST = 2048, 16, 256
+#: Bounds of the fitted sample: rows at least, and rows for each part; neighbours in its graph; units of the classifier.
+SAMPLE, SAMPLE_OF_PART, GRAPH_NEIGHBOURS, HIDDEN = 4096, 16, 12, 128
+#: Rows that a part should have, and bounds of the number of parts, which follows the number of rows.
+PART_ROWS, FEWEST, MOST = 2048, 16, 1024
 #: Queries that are audited against all rows, and the recall that they must reach.
 AUDITED, RECALL = 128, 0.95
 #: Rows and queries that one task compares.
@@ -146,20 +146,27 @@ def _routed(router: Router, visited: int):
 
 
 def nearest(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and score of each query's k nearest other ids; ties to smaller ids."""
-    vec_id, at = np.unique(vec_id, return_index=True)
-    v, out = v[at].astype(np.float64), []
+    """Query, vector and score of each query's k nearest other ids; ties to smaller ids.
+
+    Of several vectors of one id the nearest one counts.
+    """
+    order = np.argsort(vec_id, kind="stable")
+    vec_id, v, out = vec_id[order], v[order].astype(np.float64), []
+    alike = int(np.unique(vec_id, return_counts=True)[1].max(initial=1))
     for i in range(0, len(q), 256):
         own = q[i : i + 256].astype(np.float64)
         s = own @ v.T
         s[query_id[i : i + 256, None] == vec_id[None, :]] = -np.inf
-        n = min(k, s.shape[1])
+        n = min(k * alike, s.shape[1])
         least = np.partition(s, -n, axis=1)[:, -n]
         # equal vectors must score equally wherever they stand, so the best are scored again, pair by pair
         row, col = np.nonzero((s >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]) & (s > -np.inf))
         score = (own[row] * v[col]).sum(1)
         order = np.lexsort((vec_id[col], -score, row))
         row, col, score = row[order], col[order], score[order]
+        if alike > 1:
+            once = np.sort(np.unique(row * (len(vec_id) + 1) + np.searchsorted(vec_id, vec_id[col]), return_index=True)[1])
+            row, col, score = row[once], col[once], score[once]
         first = np.searchsorted(row, row)
         best = np.arange(len(row)) - first < k
         out.append((query_id[i + row[best]], vec_id[col[best]], score[best]))
@@ -171,9 +178,10 @@ def _compared(k: int):
         asks = np.array(group.column("asks").to_numpy(zero_copy_only=False), bool)
         ids, x = group.column("vec_id").to_numpy(zero_copy_only=False), matrix(group.column("embedding"))
         if asks.any() and not asks.all():
-            # the same query is asked once
-            qid, at = np.unique(ids[asks], return_index=True)
-            a, b, s = nearest(qid, x[asks][at], ids[~asks], x[~asks], k)
+            # equal rows are asked, and looked at, once
+            bits = np.column_stack([ids, np.ascontiguousarray(x).view(np.int32 if x.dtype == np.float32 else np.int64)])
+            own, others = (np.flatnonzero(m)[np.unique(bits[m], axis=0, return_index=True)[1]] for m in (asks, ~asks))
+            a, b, s = nearest(ids[own], x[own], ids[others], x[others], k)
         else:
             a, b, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return pa.table({"query_id": a, "vec_id": b, "score": s})
@@ -182,14 +190,12 @@ def _compared(k: int):
 
 
 def fit(rows: DataFrame, n: int) -> Router:
-    """A router from a sample of at most SAMPLE rows, chosen by a hash of vec_id."""
-    spot = F.pmod(F.xxhash64("vec_id", F.lit("ann")), F.lit(1 << 30))
-    held = rows.where(spot < int((1 << 30) * min(1.0, SAMPLE / max(1, n)))).select("vec_id", "embedding").limit(SAMPLE).collect()
+    """A router from a sample of at most SAMPLE rows, or SAMPLE_OF_PART for each part, chosen by a hash of vec_id."""
     parts = FEWEST
     while parts < MOST and parts * PART_ROWS < n:
         parts *= 2
-    x = np.array([r.embedding for r in sorted(held, key=lambda r: r.vec_id)] or [r.embedding for r in rows.select("embedding").limit(SAMPLE).collect()], np.float32)
-    return Router(x, parts)
+    held = rows.orderBy(F.xxhash64("vec_id", F.lit("ann")), "vec_id", "embedding").select("embedding").limit(max(SAMPLE, SAMPLE_OF_PART * parts)).toArrow()
+    return Router(matrix(held.column("embedding")).astype(np.float32), parts)
 
 
 def _audited(router: Router, query_id: np.ndarray, q: np.ndarray, k: int):
@@ -212,15 +218,21 @@ def _nearest_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _once(found: DataFrame) -> DataFrame:
+    """The best score of each query and candidate."""
+    others = [F.first(c).alias(c) for c in found.columns if c not in ("query_id", "vec_id", "score")]
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), *others)
+
+
 def parts_to_visit(router: Router, rows: DataFrame, every: int, k: int, recall: float = RECALL) -> int:
     """The fewest parts with which audited queries reach the recall, and a sixteenth of all more."""
     parts = router.w[3].shape[0]
-    held = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id", F.lit("audit"))).select("vec_id", "embedding").limit(AUDITED).collect()
+    held = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id", "embedding").select("vec_id", "embedding").limit(AUDITED).collect()
     held = sorted({r.vec_id: r for r in held}.values(), key=lambda r: r.vec_id)
     if not held:
         return parts
-    ids, q = np.array([r.vec_id for r in held]), np.array([r.embedding for r in held], np.float32)
-    best = _nearest_of(rows.mapInArrow(_audited(router, ids, q, k), "query_id long, vec_id long, score double, part int"), k)
+    ids, q = np.array([r.vec_id for r in held]), np.array([r.embedding for r in held])
+    best = _nearest_of(_once(rows.mapInArrow(_audited(router, ids, q, k), "query_id long, vec_id long, score double, part int")), k)
     order = router.ranked(q, parts)
     place = {i: {p: n for n, p in enumerate(o)} for i, o in zip(ids.tolist(), order.tolist(), strict=True)}
     depth = np.array([place[r.query_id][r.part] for r in best.select("query_id", "part").collect()])
@@ -235,19 +247,21 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
     are all rows with another vec_id, ties go to smaller ids. Scores are inner
     products of the original vectors in double precision. Vectors that are
     null, zero, not finite or not of the table's usual length, and rows with a
-    null vec_id, take no part. Repeated rows count once. Other columns are
-    ignored; without two usable rows the result is empty.
+    null vec_id, take no part. Of several vectors of one vec_id the nearest
+    one counts, as a query too. Other columns are ignored; without two usable
+    rows the result is empty.
     """
-    rows = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")))
     n = rows.count()
     schema = "query_id long, vec_id long, score double"
     if n < 2:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit(rows, n)
     parts = router.w[3].shape[0]
-    dealt = rows.mapInArrow(_assigned(router), "part int, vec_id long, embedding array<float>")
+    dealt = rows.mapInArrow(_assigned(router), f"part int, vec_id long, embedding {kind}")
     visited = parts_to_visit(router, rows, every, k, recall)
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_routed(router, visited), "part int, vec_id long, embedding array<float>")
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_routed(router, visited), f"part int, vec_id long, embedding {kind}")
     # at most MOST rows: how many blocks of candidates and of queries each part has
     count = lambda df: {r["part"]: r["count"] for r in df.groupBy("part").count().collect()}
     have, want = count(dealt), count(asked)
@@ -258,4 +272,4 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, recall:
     left = dealt.select("part", deal(blocks).alias("block"), every_one(asks).alias("turn"), "vec_id", "embedding", F.lit(False).alias("asks"))
     right = asked.select("part", every_one(blocks).alias("block"), deal(asks).alias("turn"), "vec_id", "embedding", F.lit(True).alias("asks"))
     found = left.unionAll(right).groupBy("part", "block", "turn").applyInArrow(_compared(k), schema)
-    return _nearest_of(found, k).select("query_id", "rank", "vec_id", "score")
+    return _nearest_of(_once(found), k).select("query_id", "rank", "vec_id", "score")

@@ -54,6 +54,23 @@ def test_recall_and_exact_scores(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_repeated_ids_and_double_vectors(spark):
+    """Of several vectors of one id the nearest counts; doubles stay doubles."""
+    rows = [(0, [1.0, 0.1], 0, ""), (0, [0.0, 1.0], 0, ""), (1, [0.5, 1e-9], 0, ""), (1, [0.0, 3.0], 0, ""), (2, [1.0, 0.0], 0, ""), (2, [1.0, 0.0], 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))
+    assert [(r["rank"], r.vec_id, r.score) for r in nearest_neighbours(docs).orderBy("rank").collect()] == [(1, 1, 3.0), (2, 2, 1.0)]
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+    ids = np.arange(90) // 2
+    q, v, s = nearest(ids[:10], x[:10], ids, x, 7)
+    for k in range(5):
+        own = [(float(b), int(a)) for a, b in zip(v[q == k], s[q == k])]
+        assert len(own) == 14  # a ranking for each vector of the query
+    docs = spark.createDataFrame([(int(i), r.tolist(), 0, "") for i, r in zip(ids, x)], SCHEMA.replace("array<float>", "array<double>"))
+    for r in nearest_neighbours(docs, k=44).collect():
+        assert r.score == max(float((a * b).sum()) for a in x[ids == r.query_id] for b in x[ids == r.vec_id])
+
+
 def test_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, ""), (1, [0.5, 0.0], 1, ""), (2, [0.0, 2.0], 1, "")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest_neighbours(few).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.0)]
