@@ -43,6 +43,8 @@ BEFORE = REACH - 1
 #: Stands for no document, and for the doc_id of a row that has none.
 NONE = np.iinfo(np.int64).max
 PIECE = 1 << 15
+#: Contexts whose suffixes are sorted together.
+SORTED = 4096
 _MIX = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 _FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -233,22 +235,40 @@ def _runs(order: np.ndarray, rows: np.ndarray, cluster: np.ndarray, most: int) -
     return out
 
 
+def numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like distinct_rows, in the order in which the different rows come; rows are hashed and not sorted."""
+    rows = np.ascontiguousarray(rows)
+    kind = pa.binary(rows.shape[1])
+    of = pa.Array.from_buffers(kind, len(rows), [None, pa.py_buffer(rows)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = np.full(int(of.max(initial=-1)) + 1, len(rows))
+    np.minimum.at(first, of, np.arange(len(rows)))
+    return first, of
+
+
 def anchor_order(after: np.ndarray, cluster: np.ndarray) -> np.ndarray:
     """Rows in the order of the suffixes that begin at their anchors, cluster by cluster.
 
     The suffixes are those of one text: a symbol for each cluster's anchor,
     the bytes after it two at a time, and an end that is less than all of them.
-    Rows that are alike have the same suffix, which is sorted once.
+    Rows that are alike have the same suffix, which is sorted once. Whole
+    clusters of about SORTED rows make up a text.
     """
-    first, of = distinct_rows(np.hstack([cluster.astype(">u4").view(np.uint8).reshape(-1, 4), after[:, ANCHOR:]]))
-    if not len(first):
-        return np.zeros(0, np.int64)
-    units = np.ascontiguousarray(after[first, ANCHOR:]).view(">u2").astype(np.int64)
-    text = np.column_stack([cluster[first] + (1 << 16) + 1, units + 1, np.zeros(len(first), np.int64)])
-    order = np.array(suffix_order(text.ravel().tolist()), np.int64)
-    place = np.empty(len(first), np.int64)
-    place[order[order % text.shape[1] == 0] // text.shape[1]] = np.arange(len(first))
-    return np.argsort(place[of], kind="stable")
+    out, by = [], np.argsort(cluster, kind="stable")
+    edges = np.r_[np.flatnonzero(np.r_[True, cluster[by][1:] != cluster[by][:-1]]), len(by)] if len(by) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + SORTED, side="right")) - 1)
+        rows = by[edges[at] : edges[to]]
+        first, of = numbered(np.hstack([cluster[rows].astype(">u4").view(np.uint8).reshape(-1, 4), after[rows, ANCHOR:]]))
+        units = np.ascontiguousarray(after[rows[first], ANCHOR:]).view(">u2").astype(np.int64)
+        anchor = cluster[rows[first]] - cluster[rows[0]] + (1 << 16) + 1
+        text = np.column_stack([anchor, units + 1, np.zeros(len(first), np.int64)])
+        order = np.array(suffix_order(text.ravel().tolist()), np.int64)
+        place = np.empty(len(first), np.int64)
+        place[order[order % text.shape[1] == 0] // text.shape[1]] = np.arange(len(first))
+        out.append(rows[np.argsort(place[of], kind="stable")])
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def least_by_offset(rows: np.ndarray, least: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from certus.llm import common, suffix_dedup
@@ -22,6 +23,21 @@ def test_suffix_order():
         assert suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("together", [5, 4096])
+def test_anchor_order_is_that_of_the_bytes(monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "SORTED", together)
+    rng = np.random.default_rng(together)
+    for n in (0, 1, 40, 300):
+        cluster = rng.integers(0, max(1, n // 5), n)
+        after = rng.integers(0, 3, (n, 50)).astype(np.uint8) * 100
+        after[:, :24] = cluster[:, None]
+        if n:
+            after[rng.integers(0, n, n // 3), 24:] = after[0, 24:]
+        got = suffix_dedup.anchor_order(after, cluster)
+        keys = [(int(cluster[i]), after[i].tobytes()) for i in got]
+        assert sorted(got.tolist()) == list(range(n)) and keys == sorted(keys)
+
+
 def plain(rows):
     first = {}
     texts = [(i, (t or "").encode()) for i, t in rows]
