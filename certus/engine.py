@@ -46,3 +46,7 @@ class Engine:
     def certain_values(self, table: str, columns: list[str]) -> DataFrame:
         """Certain values under the database's denial constraints."""
         return denial.certain_values(self.db, table, columns)
+
+    def certain_answers_under_denials(self, *queries: Query) -> DataFrame:
+        """Certain answers of a query, or of a union, under the database's denial constraints."""
+        return denial.certain_answers(self.db, *queries)
