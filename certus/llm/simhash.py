@@ -15,6 +15,7 @@ back a spanning forest of its links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -57,12 +58,8 @@ def shingles(text: str | None, words: int = WORDS) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, starts[words:], strict=False)]
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Bit j is set if bit j of more than half of the shingle hashes is; no words: 0."""
-    s = shingles(text, words)
-    if not s:
-        return 0
-    h = np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s))
+def majority(h: np.ndarray) -> int:
+    """Bit j is set if bit j of more than half of the hashes is; none: 0."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 18):
         block = h[i : i + (1 << 18)].view(np.uint8).reshape(-1, 8)
@@ -70,6 +67,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The majority of the shingles' hashes; no words: 0."""
+    s = shingles(text, words)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,18 +87,40 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
+@cache
+def _homes() -> tuple[np.ndarray, np.ndarray]:
+    """The words within the radius of the zero codeword, and the anchor within the radius of every 23-bit word."""
+    words, code = np.arange(1 << LENGTH, dtype=np.uint32), codewords()
+    near = words[np.bitwise_count(words) <= RADIUS]
+    home = np.zeros(1 << LENGTH, np.uint16)
+    for shift in near:
+        home[code ^ shift] = np.arange(len(code), dtype=np.uint16)
+    return near, home
+
+
+@cache
+def _around(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word within the radius of the zero codeword: where its anchors within reach begin; anchors; distances."""
+    d = np.bitwise_count(_homes()[0][:, None] ^ codewords()[None, :])
+    r, a = np.nonzero(d <= reach)
+    return np.searchsorted(r, np.arange(len(d) + 1)), a, d[r, a]
+
+
 def anchors_of(low: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 23-bit word: row, anchor and distance of the anchors within reach."""
-    code, rows, anchors, far = codewords(), [], [], []
-    for i in range(0, len(low), 512):
-        d = np.bitwise_count(low[i : i + 512, None].astype(np.uint32) ^ code[None, :])
-        r, a = np.nonzero(d <= reach)
-        rows.append(r + i)
-        anchors.append(a)
-        far.append(d[r, a])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(anchors).astype(np.int64), np.concatenate(far).astype(np.int64)
+    """For each 23-bit word: row, anchor and distance of the anchors within reach.
+
+    The code is linear and numbers its words linearly, so the anchors around a
+    word are those around its offset from home, moved there.
+    """
+    low = low.astype(np.uint32)
+    near, homes = _homes()
+    home = homes[low]
+    begin, anchor, far = _around(reach)
+    at = np.searchsorted(near, low ^ codewords()[home])
+    count = begin[at + 1] - begin[at]
+    row = np.repeat(np.arange(len(low)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - begin[at], count)
+    return row, anchor[place] ^ home[row].astype(np.int64), far[place].astype(np.int64)
 
 
 def _covered(codes: int, threshold: int):
