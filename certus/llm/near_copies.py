@@ -312,15 +312,33 @@ def across_labels(texts: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     return rows.repartition(groups, "gram").sortWithinPartitions("gram", "label", "node").mapInArrow(_paired, "a long, b long").distinct()
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """How many of the grams end in each pattern of bits, about four each; empty where a byte doesn't hold the number."""
+    k = 1 << max(3, (len(grams) // 4).bit_length() - 1)
+    count = np.bincount((grams & np.uint64(k - 1)).view(np.int64), minlength=k)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def _may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without the pairs whose sketches leave no room for enough common grams."""
+    for b in batches:
+        keep = []
+        for g, h in zip(b.column(2), b.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (g, h))
+            k = min(len(x), len(y))
+            keep.append(not k or 9 * np.minimum(x.reshape(-1, k).sum(0), y.reshape(-1, k).sum(0)).sum() >= 4 * (x.sum() + y.sum()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _wanted(marks: np.ndarray):
-    """node and grams of the texts whose doc_id falls on a mark."""
+    """node, grams and sketch of the texts whose doc_id falls on a mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = np.unpackbits(marks).view(bool)
         for b in batches:
             texts = b.column(1).filter(pa.array(here[_slots(b.column(0).to_numpy())]))
             grams = [grams_of(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([_sketch(g) for g in grams], pa.binary())], names=["node", "grams", "sketch"])
 
     return run
 
@@ -338,13 +356,19 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs a, b whose sets are similar enough.
 
     Shingles are made anew from the texts: stored, they take more room than
-    the texts. Only sets of candidates are shuffled.
+    the texts. Sketches of the sets rule out most false candidates before whole
+    sets are brought together.
     """
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node"))
-    held = texts.mapInArrow(_wanted(gathered(wanted.select("first"), _marked, np.bitwise_or, np.uint8)), "node long, grams binary")
+    held = texts.mapInArrow(_wanted(gathered(wanted.select("first"), _marked, np.bitwise_or, np.uint8)), "node long, grams binary, sketch binary")
     held = saved(held.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    left, right = (held.select(F.col("node").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
-    return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_grams", "b_grams").mapInArrow(_alike, "a long, b long"))
+
+    def beside(pairs: DataFrame, what: str) -> DataFrame:
+        left, right = (held.select(F.col("node").alias(k), F.col(what).alias(f"{k}_{what}")) for k in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", f"a_{what}", f"b_{what}")
+
+    likely = saved(beside(pairs, "sketch").mapInArrow(_may_be, "a long, b long"))
+    return saved(beside(likely, "grams").mapInArrow(_alike, "a long, b long"))
 
 
 def similar_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
