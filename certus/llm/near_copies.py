@@ -22,7 +22,7 @@ candidates are verified on the whole sets too.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from certus.llm.common import parts, saved
 from certus.llm.components import connected_components
-from certus.llm.simhash import LENGTH, RADIUS, SEED, anchors_of, majority, shingles
+from certus.llm.simhash import LENGTH, RADIUS, SEED, anchors_of, majority
 
 WORDS = 5
 #: Bits in which candidates may differ, in all and in the block that brings them together.
@@ -59,10 +59,58 @@ TABLE = np.dtype([("node", "<i8"), ("fp", "<u8"), ("size", "<u2")])
 ENTRY = np.dtype([("cell", "<u4"), ("row", "<u2")])
 
 
+#: Bytes that part words, and a number for each byte at each place of a word of up to LONGEST bytes.
+GAPS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LONGEST = 256
+#: Words whose bytes are looked up at once.
+BLOCK_WORDS = 1 << 16
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit number scattered over all of them, one to one."""
+    # shifts and factors are the fixed values of SplitMix64
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+@cache
+def _bytes_at_places() -> np.ndarray:
+    return _mixed(np.arange(1, LONGEST * 256 + 1, dtype=np.uint64))
+
+
+def _words_hashed(text: str | None) -> np.ndarray:
+    """A hash of each word: the sum of its bytes' numbers; of longer words XXH64."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    gap = GAPS[raw]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
+    start, end = edges[::2], edges[1::2]
+    out = np.zeros(len(start), np.uint64)
+    for at in range(0, len(start), BLOCK_WORDS):
+        own = slice(at, at + BLOCK_WORDS)
+        size = end[own] - start[own]
+        lo, hi = start[own][0], end[own][-1]
+        body = raw[lo:hi][~gap[lo:hi]]
+        first = np.cumsum(size) - size
+        place = np.arange(len(body)) - np.repeat(first, size) & LONGEST - 1
+        out[own] = np.add.reduceat(_bytes_at_places()[place * 256 + body], first)
+    for i in np.flatnonzero(end - start > LONGEST):
+        out[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), SEED)
+    return _mixed(out)
+
+
 def grams_of(text: str | None) -> np.ndarray:
-    """The different shingles' hashes, sorted."""
-    s = shingles(text, WORDS)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s, repeat(SEED)), np.uint64, len(s)))
+    """The different shingles' hashes, sorted; fewer than WORDS words are one shingle."""
+    w = _words_hashed(text)
+    if not len(w):
+        return w
+    many = min(WORDS, len(w))
+    h = np.zeros(len(w) - many + 1, np.uint64)
+    for k, factor in enumerate(_bytes_at_places()[:many] | np.uint64(1)):
+        h += w[k : k + len(h)] * factor
+    # numpy's own unique hashes such numbers, which takes longer than sorting them
+    h = np.sort(_mixed(h))
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def _node(grams: np.ndarray) -> int:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from certus.llm.near_copies import grams_of
 from certus.llm.simhash import fingerprint
 
 
@@ -54,3 +55,20 @@ def test_repeated_id_and_empty_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_hashes_tell_shingles_apart():
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "b", "ab", "ba", "é", "ß x", "y" * 255, "y" * 256, "y" * 300, "y" * 301]) for _ in range(n)) for n in (1, 2, 4, 5, 6, 50, 300) for _ in range(20)]
+    texts += ["", None, " \t\n", "A  b\tC\nd e\r\x0bf\x0c", "a b c d e f", "x" * 70_000 + " tail of a very long word here"]
+    seen = {}
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        got = grams_of(t).tolist()
+        assert len(got) == len(want) and got == sorted(set(got))
+        for shingle in want:
+            one = grams_of(b" ".join(shingle).decode()).tolist()
+            assert one[0] in got and len(one) == 1
+            assert seen.setdefault(one[0], shingle) == shingle
+    assert grams_of(texts[-2]).tolist() == grams_of(texts[-3]).tolist()
